@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from voxloom.llm import corpus_queries, overlap_queries
+from voxloom.llm import corpus_queries, lookalike_queries, overlap_queries
 
-_MODULES = [overlap_queries, corpus_queries]
+_MODULES = [overlap_queries, lookalike_queries, corpus_queries]
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
