@@ -24,3 +24,51 @@ def attach_by_key(rows: DataFrame, table: DataFrame, key: str, copies: str, min_
     hot = F.broadcast(table.where(F.col(copies) >= limit))
     cold = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(copies) < limit), key)
     return rows.join(hot, key).unionByName(cold)
+
+
+def left_default(df: DataFrame, other: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
+    """Left join on ``key``, with defaults where the other side has no row or null. One row per key there."""
+    j = df.join(other.select(key, *defaults), key, "left")
+    return j.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
+
+
+def first_reference(df: DataFrame, refs: DataFrame, key: str, order: str) -> DataFrame:
+    """Left join with the first reference row of each key in ``order``, as ref_* columns."""
+    fields = [c for c in refs.columns if c != key]
+    first = refs.groupBy(key).agg(F.min_by(F.struct(*fields), F.col(order)).alias("_r"))
+    return df.join(first, key, "left").select(df["*"], *[F.col(f"_r.{c}").alias(f"ref_{c}") for c in fields])
+
+
+def prefix_matches(titles: DataFrame, title: str, files: DataFrame, name: str) -> DataFrame:
+    """(title, name): the first file, by name, that starts with the title and '_'; null if none does.
+
+    Every file name has few '_'-ended prefixes, so these are exploded and joined by equality; no pair of
+    title and file is compared otherwise.
+    """
+    at = F.filter(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(F.col(name), i, F.lit(1)) == "_")
+    prefixes = files.where(F.length(name) > 0).select(F.explode(F.transform(at, lambda i: F.substring(F.col(name), F.lit(1), i - 1))).alias(title), F.col(name))
+    first = prefixes.groupBy(title).agg(F.min(name).alias(name))
+    return titles.select(title).distinct().join(first, title, "left")
+
+
+def title_lookup(wanted: DataFrame, name: str, books: DataFrame, title: str, order: str) -> DataFrame:
+    """(name, title): exact title, else the first title in ``order`` that contains the name; '' if none does.
+
+    Only names without an exact match are compared with titles, and both are distinct first; the side of
+    titles is the catalogue of books, not the records.
+    """
+    names = wanted.select(name).where(F.col(name).isNotNull()).distinct()
+    catalogue = books.groupBy(title).agg(F.min(order).alias("_o"))
+    exact = names.join(catalogue.select(F.col(title).alias(name)), name, "left_semi").withColumn(title, F.col(name))
+    rest = names.join(catalogue.select(F.col(title).alias(name)), name, "left_anti")
+    part = rest.join(catalogue, F.col(title).contains(F.col(name)), "left").groupBy(name).agg(F.coalesce(F.min_by(title, "_o"), F.lit("")).alias(title))
+    return exact.unionByName(part)
+
+
+def paired_similarity(vectors: DataFrame, pairs: DataFrame, vec_id: str, vec: str, a: str, b: str) -> DataFrame:
+    """pairs plus similarity of their two vectors; pairs with a missing vector go out."""
+    from voxloom.functions.metrics import cosine
+
+    left = vectors.select(F.col(vec_id).alias(a), F.col(vec).alias("_va"))
+    right = vectors.select(F.col(vec_id).alias(b), F.col(vec).alias("_vb"))
+    return pairs.join(left, a).join(right, b).withColumn("similarity", cosine(F.col("_va"), F.col("_vb"))).drop("_va", "_vb")

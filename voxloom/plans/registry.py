@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from voxloom.plans import balance_queries
+from voxloom.plans import balance_queries, text_queries
 
-_MODULES = [balance_queries]
+_MODULES = [balance_queries, text_queries]
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
