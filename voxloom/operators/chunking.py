@@ -19,34 +19,36 @@ CHUNK_ROWS = 200_000
 _ROW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row's number in the low 33 bits
 
 
+def _free(prefix: str, df: DataFrame) -> str:
+    """``prefix`` with as many underscores before it as it takes to clash with no column."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def number_within_key(df: DataFrame, keys: list[str], order: list[str], rank: str = "rank_in_key") -> DataFrame:
     """Add ``rank``: the row's 0-based number within its key in the order of ``order``.
 
     ``order`` should be unique over the table (append an id): ties are numbered in an arbitrary but
     fixed way, and only the values of ``order``, never those of a key, decide the partition. Null keys
-    form one key; nulls in ``order`` come first. An empty table gives an empty one. Names clashing with
-    the working columns (prefixed ``_nk_``) are not supported; ``rank`` must be new.
+    form one key; nulls in ``order`` come first. With no keys the whole table is numbered. An empty table
+    gives an empty one. Other columns may have any name but ``rank``.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = (
-        df.repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in order])
-        .sortWithinPartitions(*keys, *[F.col(c).asc_nulls_first() for c in order])
-        .withColumn("_nk_part", F.spark_partition_id())
-        .withColumn("_nk_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)))
-    )
+    p = _free("_nk", df)
+    part, row, first, n, before = (f"{p}_{x}" for x in ("part", "row", "first", "n", "before"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(c).asc_nulls_first() for c in order]
+    laid = df.repartitionByRange(parts, *by).sortWithinPartitions(*keys, *by)
+    laid = laid.withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)))
     laid = cut(laid)
-    counts = laid.groupBy(*keys, "_nk_part").agg(F.min("_nk_row").alias("_nk_first"), F.count("*").alias("_nk_n"))
-    before = Window.partitionBy(*keys).orderBy("_nk_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_nk_before", F.coalesce(F.sum("_nk_n").over(before), F.lit(0))).drop("_nk_n")
-    for c in [*keys, "_nk_part"]:
-        offsets = offsets.withColumnRenamed(c, f"_nk_o_{c}")
+    counts = laid.groupBy(*keys, part).agg(F.min(row).alias(first), F.count("*").alias(n))
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn(before, F.coalesce(F.sum(n).over(earlier), F.lit(0))).drop(n)
     on = F.lit(True)
-    for c in [*keys, "_nk_part"]:
-        on = on & laid[c].eqNullSafe(offsets[f"_nk_o_{c}"])
-    return laid.join(offsets, on).select(
-        *df.columns, (F.col("_nk_row") - F.col("_nk_first") + F.col("_nk_before")).alias(rank)
-    )
+    for i, c in enumerate([*keys, part]):
+        offsets = offsets.withColumnRenamed(c, f"{p}_k{i}")
+        on = on & laid[c].eqNullSafe(offsets[f"{p}_k{i}"])
+    return laid.join(offsets, on).select(*df.columns, (F.col(row) - F.col(first) + F.col(before)).alias(rank))
 
 
 def with_chunks(df: DataFrame, keys: list[str], order: list[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -76,37 +78,39 @@ def key_profile(
 ) -> DataFrame:
     """Per key: rows, summed amount, first and last ``at``, and the longest wait between neighbours.
 
-    ``order`` must begin with ``at``. The waits inside a chunk come from that chunk alone; the wait
-    across a boundary is found when the chunk states, carrying their first and last times, are merged
-    in order. Null amounts count as 0 and null times are skipped. Columns: key, clips, amount,
-    first_at, last_at, max_wait_us.
+    Rows are ordered by ``at``, then ``order``. The waits inside a chunk come from that chunk alone; the
+    wait across a boundary is found when the chunk states, carrying their first and last times, are
+    merged in order. Null amounts count as 0, null times are skipped, a null key is a key. Columns: key,
+    clips, amount, first_at, last_at, max_wait_us.
     """
     us = F.unix_micros(F.col(at).cast("timestamp"))
-    rows = with_chunks(df.select(key, *order, amount.alias("_amount")), [key], order, chunk_rows)
-    inside = Window.partitionBy(key, "chunk").orderBy("rank_in_key")
+    tie = [F.col(c).alias(f"o{i}") for i, c in enumerate(order)]
+    rows = df.select(F.col(key).alias("k"), us.alias("us"), *tie, amount.alias("amount"))
+    rows = with_chunks(rows, ["k"], ["us", *[f"o{i}" for i in range(len(order))]], chunk_rows)
+    inside = Window.partitionBy("k", "chunk").orderBy("rank_in_key")
     states = (
-        rows.withColumn("_us", us)
-        .withColumn("_wait", F.col("_us") - F.lag("_us").over(inside))
-        .groupBy(key, "chunk")
+        rows.withColumn("wait", F.col("us") - F.lag("us").over(inside))
+        .groupBy("k", "chunk")
         .agg(
             F.count("*").alias("clips"),
-            F.sum("_amount").alias("amount"),
-            F.min("_us").alias("_first"),
-            F.max("_us").alias("_last"),
-            F.max("_wait").alias("_wait"),
+            F.sum("amount").alias("amount"),
+            F.min("us").alias("first"),
+            F.max("us").alias("last"),
+            F.max("wait").alias("wait"),
         )
     )
-    across = Window.partitionBy(key).orderBy("chunk")
+    across = Window.partitionBy("k").orderBy("chunk")
     return (
-        states.withColumn("_edge", F.col("_first") - F.lag("_last").over(across))
-        .groupBy(key)
+        states.withColumn("edge", F.col("first") - F.lag("last").over(across))
+        .groupBy("k")
         .agg(
             F.sum("clips").alias("clips"),
             F.coalesce(F.sum("amount"), F.lit(0)).alias("amount"),
-            F.timestamp_micros(F.min("_first")).alias("first_at"),
-            F.timestamp_micros(F.max("_last")).alias("last_at"),
-            F.coalesce(F.greatest(F.max("_wait"), F.max("_edge")), F.lit(0)).alias("max_wait_us"),
+            F.timestamp_micros(F.min("first")).alias("first_at"),
+            F.timestamp_micros(F.max("last")).alias("last_at"),
+            F.coalesce(F.greatest(F.max("wait"), F.max("edge")), F.lit(0)).alias("max_wait_us"),
         )
+        .withColumnRenamed("k", key)
     )
 
 
@@ -115,9 +119,9 @@ def heavy_keys(df: DataFrame, key: str, order: list[str], share: float, chunk_ro
 
     The total covers all rows, also those without a key. Columns: key, rows, total.
     """
-    states = with_chunks(df.select(key, *order), [key], order, chunk_rows).groupBy(key, "chunk").count()
-    per_key = states.groupBy(key).agg(F.sum("count").alias("rows"))
+    rows = df.select(F.col(key).alias("k"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    states = with_chunks(rows, ["k"], [f"o{i}" for i in range(len(order))], chunk_rows).groupBy("k", "chunk").count()
+    per_key = states.groupBy("k").agg(F.sum("count").alias("rows"))
     total = per_key.agg(F.sum("rows").alias("total"))
-    return per_key.crossJoin(F.broadcast(total)).where(
-        (F.col(key) != "") & (F.col("rows") >= F.lit(share) * F.col("total"))
-    )
+    heavy = (F.col("k") != "") & (F.col("rows") >= F.lit(share) * F.col("total"))
+    return per_key.crossJoin(F.broadcast(total)).where(heavy).select(F.col("k").alias(key), "rows", "total")

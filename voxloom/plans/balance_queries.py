@@ -21,7 +21,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_speaker_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clips, hours, arrival span and longest wait between consecutive arrivals of each speaker."""
     clips = once(read(spark, sf_dir, "train_manifest"), "ingested_at", "id", "speaker_id", "duration")
-    out = key_profile(clips, "speaker_id", "ingested_at", ["ingested_at", "id"], F.col("duration").cast("decimal(18,4)"))
+    out = key_profile(clips, "speaker_id", "ingested_at", ["id"], F.col("duration").cast("decimal(18,4)"))
     return out.select(
         "speaker_id",
         "clips",
