@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.config import CHUNK, FILTER, PREP, QUALITY
+from voxloom.config import CHUNK, FILTER, PREP, QUALITY, QualityConfig
 from voxloom.functions.compress import compression_ratio
 from voxloom.functions.metrics import cer_verify
 from voxloom.functions.text import repeated_chars, repeated_words, script_ratio, segment_number, stripped
@@ -26,12 +26,12 @@ def chars_per_second(text: Column, seconds: Column) -> Column:
     return F.when(seconds > 0, F.length(text) / seconds)
 
 
-def standard_reason(seconds: Column, loudness: Column | None = None) -> Column:
+def standard_reason(seconds: Column, loudness: Column | None = None, config: QualityConfig = QUALITY) -> Column:
     """dropped_error (no duration, or loudness not finite), dropped_short, dropped_long or ok; bounds inclusive."""
     bad = seconds.isNull() | F.isnan(seconds)
     if loudness is not None:
         bad = bad | loudness.isNull() | F.isnan(loudness) | (F.abs(loudness) == float("inf"))
-    return cascade((bad, "dropped_error"), (seconds < QUALITY.min_duration, "dropped_short"), (seconds > QUALITY.max_duration, "dropped_long"))
+    return cascade((bad, "dropped_error"), (seconds < config.min_duration, "dropped_short"), (seconds > config.max_duration, "dropped_long"))
 
 
 def char_duration(text: Column, seconds: Column) -> Column:

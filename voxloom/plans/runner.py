@@ -46,7 +46,7 @@ def by_reason(df: DataFrame) -> StageResult:
 @stage("standardize")
 def standardize(df: DataFrame, c: QualityConfig) -> StageResult:
     loud = F.col("loudness") if "loudness" in df.columns else None
-    return by_reason(df.withColumn("reason", filters.standard_reason(F.col("duration"), loud)))
+    return by_reason(df.withColumn("reason", filters.standard_reason(F.col("duration"), loud, c)))
 
 
 @stage("enhance")
