@@ -52,22 +52,26 @@ def word_cer(a: Column, b: Column) -> Column:
 def word_edits(ref_words: Column, hyp_words: Column) -> Column:
     """Word-level edit distance without a UDF: every distinct word of the pair becomes one character.
 
-    Characters start at U+4E00, so up to 35,000 distinct words a pair stay clear of the surrogates.
+    Characters start at U+4E00, so up to 35,000 distinct words a pair stay clear of the surrogates. The
+    words are bound as a lambda variable, else they would be derived anew for every word.
     """
-    words = F.array_distinct(F.concat(ref_words, hyp_words))
+    pair = F.struct(ref_words.alias("r"), hyp_words.alias("h"), F.array_distinct(F.concat(ref_words, hyp_words)).alias("v"))
 
-    def encoded(side: Column) -> Column:
+    def encoded(side: Column, words: Column) -> Column:
         code = F.transform(side, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, w) + 19967), 4, "0")), "UTF-16BE"))
         return F.array_join(code, "")
 
-    return F.levenshtein(encoded(ref_words), encoded(hyp_words))
+    return F.transform(F.array(pair), lambda p: F.levenshtein(encoded(p["r"], p["v"]), encoded(p["h"], p["v"])))[0]
 
 
 def wer(ref: Column, hyp: Column) -> Column:
     """Word edits of the normalised texts over the reference's words; empty references as for CER."""
-    r, h = tokens(norm_eval(ref)), tokens(norm_eval(hyp))
-    empty = F.when(F.size(h) > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    return F.when(F.size(r) > 0, word_edits(r, h) / F.size(r)).otherwise(empty)
+    def rate(p: Column) -> Column:
+        empty = F.when(F.size(p["h"]) > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+        return F.when(F.size(p["r"]) > 0, word_edits(p["r"], p["h"]) / F.size(p["r"])).otherwise(empty)
+
+    sides = F.struct(tokens(norm_eval(ref)).alias("r"), tokens(norm_eval(hyp)).alias("h"))
+    return F.transform(F.array(sides), rate)[0]
 
 
 def dot(a: Column, b: Column) -> Column:

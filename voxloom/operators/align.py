@@ -20,23 +20,44 @@ CLOSE_WORD = 0.3
 FACTORS = (0.85, 0.9, 0.95, 1.0, 1.05, 1.1, 1.15)
 
 
-def edits(a: str, b: str) -> int:
-    """Edit distance with the columns of the table held as bits of two integers."""
-    if not a or not b:
-        return len(a) + len(b)
+def positions(a: str) -> dict[str, int]:
+    """Where each character stands, as bits."""
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
-    full, top, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
-    up, down = full, 0
-    for c in b:
+    return at
+
+
+def edit_profile(at: dict[str, int], size: int, text: str, stops: list[int]) -> list[int]:
+    """Edit distances of a pattern, given by ``positions`` and its size, to text[:n] for ascending ``stops``.
+
+    One pass: the columns of the table are held as bits of two integers, and the distance to each
+    beginning of the text is the running score.
+    """
+    out, left_stops = [], list(stops)
+    full, top, score = (1 << size) - 1, 1 << (size - 1), size
+    up, down, done = full, 0, 0
+    while left_stops and left_stops[0] == 0:
+        out.append(score)
+        left_stops.pop(0)
+    for c in text[: stops[-1]] if stops else "":
         eq = at.get(c, 0)
         diag = (((eq & up) + up) ^ up) | eq | down
         right, left = down | ~(diag | up), up & diag
         score += 1 if right & top else -1 if left & top else 0
         right, left = right << 1 | 1, left << 1
         up, down = (left | ~(diag | right)) & full, right & diag & full
-    return score
+        done += 1
+        while left_stops and left_stops[0] == done:
+            out.append(score)
+            left_stops.pop(0)
+    return out
+
+
+def edits(a: str, b: str) -> int:
+    if not a or not b:
+        return len(a) + len(b)
+    return edit_profile(positions(a), len(a), b, [len(b)])[0]
 
 
 def rate(ref: str, hyp: str) -> float:
@@ -127,18 +148,12 @@ def best_match(query: str, text: str, start: int, window: int) -> tuple[int, int
         return start, start + end, rate(region[:end], query)
     reach = [bisect.bisect_right(hits, h + size) - bisect.bisect_left(hits, h) for h in hits]
     anchor = hits[reach.index(max(reach))]
-    best = (1.0, anchor, min(anchor + size, len(region)))
-    tried: set[tuple[int, int]] = set()
-    for shift in range(-size // 3, size // 6 + 1, max(1, size // 10)):
-        a = max(0, anchor + shift)
-        for f in FACTORS:
-            z = min(a + int(size * f), len(region))
-            if z <= a or (a, z) in tried:
-                continue
-            tried.add((a, z))
-            r = rate(region[a:z], query)
-            if r < best[0]:
-                best = (r, a, z)
+    best, at = (1.0, anchor, min(anchor + size, len(region))), positions(query)
+    for a in dict.fromkeys(max(0, anchor + shift) for shift in range(-size // 3, size // 6 + 1, max(1, size // 10))):
+        lengths = [n for n in dict.fromkeys(min(int(size * f), len(region) - a) for f in FACTORS) if n > 0]
+        for n, d in zip(lengths, edit_profile(at, size, region[a:], lengths)):
+            if d / n < best[0]:
+                best = (d / n, a, a + n)
     return start + best[1], start + best[2], best[0]
 
 
@@ -254,11 +269,12 @@ class SegmentAligner:
         if not self.matched or not q:
             return row
         best = (1.0, self.cursor, min(self.cursor + len(q), len(norm)))
+        at, lengths = positions(q), list(dict.fromkeys(int(len(q) * f) for f in SCAN_FACTORS if int(len(q) * f)))
         for a in range(max(0, self.cursor - SCAN_BACK), min(len(norm), self.cursor + WINDOW_TIMES * len(q) + SCAN_AHEAD), max(1, len(q) // 10)):
-            for f in SCAN_FACTORS:
-                z = a + int(len(q) * f)
-                if z <= len(norm) and (r := bounded_rate(norm[a:z], q)) < best[0]:
-                    best = (r, a, z)
+            fits = [n for n in lengths if a + n <= len(norm)]
+            for n, e in zip(fits, edit_profile(at, len(q), norm[a : a + lengths[-1]], fits)):
+                if e / max(n, len(q)) < best[0]:
+                    best = (e / max(n, len(q)), a, a + n)
         _, _, text = self.book.cut(best[1], best[2])
         if best[0] < ADVANCE:
             self.cursor = best[2]

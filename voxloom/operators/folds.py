@@ -104,7 +104,7 @@ def remerge(parts: DataFrame, key: str, longest: float = CHUNK.vad_max) -> DataF
     return bounded_merge(parts, key, longest=longest, gap=float("inf"))
 
 
-def _sentences(frame: pd.DataFrame) -> list[tuple[int, int]]:
+def _sentences(begin: list[float], end: list[float], closes: list[bool]) -> list[tuple[int, int]]:
     """Half-open row ranges of one chunk's segments.
 
     A segment ends after a word if it is long enough and the word closes a sentence before a pause, or
@@ -112,9 +112,7 @@ def _sentences(frame: pd.DataFrame) -> list[tuple[int, int]]:
     the segment before if the whole is not too long, else stand alone; without a segment before, or when
     shorter than the least leftover, they are lost.
     """
-    begin, end = frame["start_sec"].to_numpy(), frame["end_sec"].to_numpy()
-    closes = frame["word"].str.contains(SENTENCE_END, regex=True).to_numpy()
-    n, out, first = len(frame), [], 0
+    n, out, first = len(begin), [], 0
     for i in range(n):
         pause = begin[i + 1] - end[i] if i + 1 < n else float("inf")
         length = end[i] - begin[first]
@@ -133,20 +131,36 @@ def _sentences(frame: pd.DataFrame) -> list[tuple[int, int]]:
 def sentence_segments(words: DataFrame) -> DataFrame:
     """Word timings to sentence segments per (recording_id, chunk_idx), in ordinal order; see SEGMENT.
 
-    Repeated rows count once; words with a null bound or text are left out. A group is one chunk, a
-    stretch of speech of bounded length, not a whole recording.
+    Repeated rows count once; words with a null bound or text are left out. Rows are spread by recording
+    and chunk (a stretch of speech of bounded length), sorted, and folded chunk after chunk in batches;
+    a chunk is held until the next one begins.
     """
-    rows = words.select("recording_id", "chunk_idx", "ordinal", "word", "start_sec", "end_sec").dropna().distinct()
+    keys = ["recording_id", "chunk_idx"]
+    rows = words.select(*keys, "ordinal", "word", "start_sec", "end_sec").dropna().distinct()
+    rows = rows.withColumn("closes", F.col("word").rlike(SENTENCE_END))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "ordinal", "start_sec", "end_sec", "word")
+    names = [c.split()[0] for c in SEGMENT_SCHEMA.split(", ")]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ordinal", "start_sec", "end_sec", "word"], kind="stable", ignore_index=True)
-        out = []
-        for seg, (a, z) in enumerate(_sentences(frame)):
-            s, e = frame["start_sec"].iloc[a], frame["end_sec"].iloc[z - 1]
-            out.append((frame["recording_id"].iloc[0], frame["chunk_idx"].iloc[0], seg, " ".join(frame["word"].iloc[a:z]), s, e, e - s, z - a))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SEGMENT_SCHEMA.split(", ")])
+    def segments(key, held):
+        _, _, word, begin, end, closes = zip(*held)
+        for seg, (a, z) in enumerate(_sentences(begin, end, closes)):
+            yield (*key, seg, " ".join(word[a:z]), begin[a], end[z - 1], end[z - 1] - begin[a], z - a)
+
+    def run(batches):
+        key, held = None, []
+        for b in batches:
+            out = []
+            for row in b[[*keys, "word", "start_sec", "end_sec", "closes"]].itertuples(index=False, name=None):
+                if row[:2] != key:
+                    if held:
+                        out += segments(key, held)
+                    key, held = row[:2], []
+                held.append(row)
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame(list(segments(key, held)), columns=names)
 
-    return rows.groupBy("recording_id", "chunk_idx").applyInPandas(run, SEGMENT_SCHEMA)
+    return rows.mapInPandas(run, SEGMENT_SCHEMA)
 
 
 def token_spans(frames: DataFrame, keys: list[str], frame: str = "frame", token: str = "token") -> DataFrame:
