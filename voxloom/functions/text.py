@@ -112,3 +112,9 @@ def absolute(path: Column, base: str) -> Column:
 def first_filled(*columns: Column) -> Column:
     """First value that is neither null nor ''."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns], F.lit(""))
+
+
+def unknown_chars(c: Column, vocabulary: list[str]) -> Column:
+    """Distinct characters of a text that a vocabulary lacks, sorted."""
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    return F.array_sort(F.array_except(chars, F.array(*[F.lit(v) for v in vocabulary])))
