@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from voxloom.storage import cut
 
 ORDER = 6  # characters a backward n-gram spans, the anchor included
-GRAMS = 300_000  # n-grams kept per length and model: those with at least 1/GRAMS of the count
+GRAMS = 60_000  # n-grams kept per length and model: those with at least 1/GRAMS of the count
 TAIL = 120
 BACKOFF = 2.0
 NEAR, WORD_CHARS, WORD_BYTES = 30, 25, 60
