@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from voxloom.operators.chunking import number_within_key
 from voxloom.storage import cut
 
-BINS = 256  # a capacity is measured in so many steps; an item takes its length rounded up to a step
+BINS = 512  # a capacity is measured in so many steps; an item takes its length rounded up to a step
 DEPTH = 3
 WINDOW = 1  # steps that a combination may leave free
 
@@ -29,25 +29,24 @@ def combinations(bins: int = BINS, depth: int = DEPTH, window: int = WINDOW) ->
     return np.array(out, np.int64)
 
 
-def nnls(combos: np.ndarray, histogram: np.ndarray, rounds: int = 3000, tolerance: float = 1e-4) -> np.ndarray:
+def nnls(combos: np.ndarray, histogram: np.ndarray, rounds: int = 800, tolerance: float = 1e-7) -> np.ndarray:
     """x >= 0 that nearly minimises |A x - h|, where column j of A counts the sizes in combination j.
 
-    Accelerated projected gradient; A is never formed, its products are gathers and scatters.
-    ``histogram[0]`` belongs to padding and is ignored.
+    Accelerated projected gradient with restarts; A is never formed, its products are one gather and one
+    scatter. ``histogram[0]`` belongs to padding and is ignored.
     """
     scale = histogram.max() or 1.0
-    h, n = histogram / scale, len(histogram)
-    real = combos > 0
+    h, n, depth = histogram / scale, len(histogram), combos.shape[1]
+    h[0] = 0.0
+    flat = np.ascontiguousarray(combos.T).ravel()
 
     def times(x):
-        out = np.zeros(n)
-        for k in range(combos.shape[1]):
-            out += np.bincount(combos[:, k], x, n)
-        out[0] = 0
+        out = np.bincount(flat, np.concatenate([x] * depth), n)
+        out[0] = 0.0
         return out
 
     def transposed(r):
-        return np.where(real, r[combos], 0.0).sum(1)
+        return r[flat].reshape(depth, -1).sum(0)
 
     v = np.ones(len(combos))
     for _ in range(20):  # largest eigenvalue of A'A gives the step
@@ -57,16 +56,16 @@ def nnls(combos: np.ndarray, histogram: np.ndarray, rounds: int = 3000, toleranc
     step = 1.0 / (size * 1.02)
     x = y = np.zeros(len(combos))
     t = 1.0
-    for i in range(rounds):
-        new = np.maximum(y - step * transposed(times(y) - h), 0.0)
+    for _ in range(rounds):
+        miss = times(y) - h
+        if miss @ miss < tolerance * (h @ h):
+            break
+        new = np.maximum(y - step * transposed(miss), 0.0)
         if (y - new) @ (new - x) > 0:
             t = 1.0
         nt = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y = new + (t - 1) / nt * (new - x)
-        moved = np.abs(new - x).max()
         x, t = new, nt
-        if i > 50 and moved < tolerance * 1e-3:
-            break
     return x * scale
 
 
