@@ -113,8 +113,9 @@ def pack(docs: DataFrame, doc_id: str, tokens: str, capacities: dict[str, int],
 
     An item longer than the capacity is cut into full pieces, each a container of its own, and a rest
     that is packed with the others; no other item is split. Items without tokens (null, 0) are left
-    out. Only a histogram of ``bins`` counts per capacity reaches the driver. Items of one size are told
-    apart by their exact number within the size, so a size that most items share stays spread out.
+    out. Only a histogram of ``bins`` counts per capacity reaches the driver, and only the plan is
+    broadcast, at most one row per combination and size. Items of one size are told apart by their exact
+    number within the size, so a size that most items share stays spread out.
     """
     spark = docs.sparkSession
     items = cut(docs.where(F.col(tokens) > 0).select(F.col(doc_id).alias("doc_id"), F.col(tokens).alias("n")))
@@ -144,7 +145,7 @@ def pack(docs: DataFrame, doc_id: str, tokens: str, capacities: dict[str, int],
     table = spark.createDataFrame(slots or [("", 0, 0, 0, 0, 1)], "c string, s int, lo long, hi long, base long, times long")
     numbered = number_within_key(rest.withColumn("h", F.xxhash64("doc_id", "container")), ["container", "size"], ["h", "doc_id", "container"])
     on = (F.col("container") == F.col("c")) & (F.col("size") == F.col("s")) & (F.col("rank_in_key") >= F.col("lo")) & (F.col("rank_in_key") < F.col("hi"))
-    placed = numbered.join(table, on).select(
+    placed = numbered.join(F.broadcast(table), on).select(
         "container", F.concat(F.lit("p"), F.col("base") + (F.col("rank_in_key") - F.col("lo")) % F.col("times")).alias("container_no"),
         "doc_id", "piece", "start_token", "tokens",
     )

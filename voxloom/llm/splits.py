@@ -15,6 +15,7 @@ from voxloom.storage import cut, once
 
 BINS = 100
 SEED = 20
+BROADCAST_ROWS = 100_000  # beyond, the table of ranges is joined by a shuffle with skew handling
 
 
 def relation_tokens(clip_id: Column, speaker: Column, book: Column) -> Column:
@@ -126,6 +127,8 @@ def assign(clips: DataFrame, targets: dict[str, float], bins: int = BINS, seed:
     spark = clips.sparkSession
     table = spark.createDataFrame(ranks or [(0, 0, 0, "")], "weight long, lo long, hi long, split string")
     numbered = number_within_key(sizes.withColumn("h", F.xxhash64("root", F.lit(seed))), ["weight"], ["h", "root"])
+    if len(ranks) <= BROADCAST_ROWS:
+        table = F.broadcast(table)
     placed = numbered.join(table, (numbered["weight"] == table["weight"]) & (F.col("rank_in_key") >= F.col("lo")) & (F.col("rank_in_key") < F.col("hi")))
     placed = cut(placed.select("root", "split"))
     by_token = cut(usage.join(roots, "node").join(placed, "root").select("node", "n", "split"))
