@@ -242,17 +242,20 @@ class Fit:
         return out - odds if place != "below" and last.endswith("a") else out
 
     def _p(self, table, group, last, is_cut) -> float:
-        """Symbols leftwards: P(last symbol), then the two before it given it; each backs off to all groups."""
+        """Symbols leftwards: P(last symbol), then the two before it given it.
+
+        Each is smoothed towards all records, then those of the kind, then those of kind and script.
+        """
         out = 1.0
         for k in (1, 3):
             now, ctx = last[-k:], last[-1:] if k == 3 else ""
-            usual = 1.0 / 30
+            p = 1.0 / 30
             if k == 1:
-                usual = self.USUAL.get(now, 0.005) if is_cut else (1e-6 if now in self.NEVER else 0.02)
-            pool = table.get(("*", k, ctx), {})
-            base = (pool.get(now, 0.0) + 5 * usual) / (pool.get("", 0.0) + 5)
-            own = table.get((*group, k, ctx), {})
-            out *= (own.get(now, 0.0) + 3 * base) / (own.get("", 0.0) + 3)
+                p = self.USUAL.get(now, 0.005) if is_cut else (1e-6 if now in self.NEVER else 0.02)
+            for level, weight in zip(("*", *(group[:n] for n in range(1, len(group) + 1))), (5, 3, 3)):
+                own = table.get((level, k, ctx), {})
+                p = (own.get(now, 0.0) + weight * p) / (own.get("", 0.0) + weight)
+            out *= p
         return out
 
     def _round(self, counts) -> None:
@@ -266,9 +269,9 @@ class Fit:
             for table, group, m in ((end, (kind, script), (1 - q) * n), (gone, (kind,), q * n)):
                 for k in (1, 3):
                     now, ctx = last[-k:], last[-1:] if k == 3 else ""
-                    for g in (("*", k, ctx), (*group, k, ctx)):
-                        table[g][now] += m
-                        table[g][""] += m
+                    for level in ("*", *(group[:i] for i in range(1, len(group) + 1))):
+                        table[level, k, ctx][now] += m
+                        table[level, k, ctx][""] += m
         self.end, self.cut = end, gone
         for (kind, place), (a, b) in rate.items():
             self.rate[kind, place] = (a + 2 * self.START[place]) / (b + 2)
