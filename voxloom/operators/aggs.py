@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions.metrics import summary, upper_median
 
+# Histogram brackets.
 CER_EDGES = ((0.0, 0.05), (0.05, 0.10), (0.10, 0.20), (0.20, 0.50), (0.50, 1.01))
 
 

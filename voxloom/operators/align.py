@@ -14,6 +14,7 @@ from voxloom.operators.folds import fold_in_order
 
 _NOT_WORD = re.compile(r"[^\w]")
 _HEADING = re.compile(r"^#+\s+", re.M)
+# Search windows, stretch factors and thresholds that results depend on.
 BACKTRACK, WINDOW_CHARS, WINDOW_TIMES = 300, 3000, 5
 FAR_BACK, FAR_TIMES, POOR, ADVANCE = 2000, 15, 0.4, 0.5
 CLOSE_WORD = 0.3
@@ -243,6 +244,7 @@ def align_chunks(chunks: DataFrame, books: DataFrame) -> DataFrame:
     return fold_in_order(rows, "recording_id", ["kind", "chunk_id"], ALIGNED, Aligner, lambda s, f: s.step(f))
 
 
+# Fixed values of the second-generation alignment.
 PROBES, PROBE_TIMES = 5, 10
 SCAN_BACK, SCAN_AHEAD, SCAN_FACTORS = 200, 1000, (0.9, 1.0, 1.1)
 
