@@ -50,3 +50,23 @@ def test_symbols():
     assert tr.symbols("ab &am")[-1] == "e" and tr.symbols("ab ")[-1] == "␠" and tr.symbols("q\\u10d")[-1] == "e"
     assert tr.complete("aa.") and tr.complete('a."') and not tr.complete('aa"') and not tr.complete("aaa")
     assert [tr.script_of(x) for x in ("abc", "сон", "ერთი 5", "12")] == ["latn", "cyrl", "ka", "none"]
+
+
+def rare_script(n=40):
+    """A few transcripts in Cyrillic, every second one cut inside its last word, among much Latin text."""
+    rng = random.Random(9)
+    stems = ["".join(rng.choice("бдгклмн") + rng.choice("аеиоу") for _ in range(3)) for _ in range(8)]
+    rows = [(i, "bonakirs medulint " * 50_000 + "bonakirs.", "bulk", "passage") for i in range(20)]
+    for i in range(n):
+        words = [rng.choice(stems) + "рт" for _ in range(12)]
+        text = " ".join(words)
+        rows.append((100 + i, text[:-3] if i % 2 else text, "rare", "transcript"))
+    return rows
+
+
+def test_rare_scripts_keep_their_word_statistics(spark):
+    rows = rare_script()
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, kind string").repartition(4)
+    got = {r["id"]: r["log_odds"] for r in tr.truncated(df, "doc_id", "text", "source", "kind").collect() if r["id"] >= 100}
+    assert len(got) == 40
+    assert min(x for i, x in got.items() if i % 2) > max(x for i, x in got.items() if i % 2 == 0) + 2

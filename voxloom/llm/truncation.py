@@ -20,10 +20,10 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxloom.operators.joins import attach_by_key
 from voxloom.storage import cut
 
 ORDER = 6  # characters a backward n-gram spans, the anchor included
-GRAMS = 60_000  # n-grams kept per length and model: those with at least 1/GRAMS of the count
 TAIL = 120
 BACKOFF = 2.0
 NEAR, WORD_CHARS, WORD_BYTES = 30, 25, 60
@@ -65,17 +65,15 @@ def script_of(tail: str) -> str:
 
 
 class WordEnds:
-    """Backward character n-grams of word ends and of positions inside words."""
-
-    def __init__(self, rows: list[tuple[str, str, int]]):
-        self.count: dict[str, dict[str, int]] = {"end": {}, "in": {}}
-        for model, gram, n in rows:
-            self.count[model][gram] = n
-        self.total = {m: sum(n for g, n in c.items() if len(g) == 1) or 1 for m, c in self.count.items()}
-        self.open = {m: defaultdict(int) for m in self.count}
-        for m, c in self.count.items():
-            for g, n in c.items():
-                self.open[m][g[1:]] += n
+    """Backward character n-grams of word ends and of positions inside words.
+
+    ``count`` holds the counts of n-grams per model, ``open`` those of contexts with any character
+    before them; '' is the context of all. Only the n-grams within the runs to be spelled are needed.
+    """
+
+    def __init__(self, count: dict[str, dict[str, int]], open: dict[str, dict[str, int]]):
+        self.count, self.open = count, open
+        self.total = {m: o.get("", 0) or 1 for m, o in open.items()}
 
     def spell(self, model: str, run: str) -> float:
         """log P(run | model), leftwards from its last character; '^' or '0' marks the word's start.
@@ -114,11 +112,11 @@ class WordEnds:
         return end - top - math.log(cut_at)
 
 
-def train_word_ends(docs: DataFrame, text: str, grams: int = GRAMS) -> WordEnds:
-    """Count n-grams over all words of all texts but each text's final one, which may be cut.
+def word_grams(docs: DataFrame, text: str) -> DataFrame:
+    """(gram, end, in): n-grams over all words of all texts but each text's final one, which may be cut.
 
-    Words are counted first (partial aggregation), so n-grams are taken from distinct words. Per model
-    and length those with at least a ``grams``-th of the count are kept, hence at most ``grams``.
+    Words are counted first (partial aggregation), so n-grams are taken from distinct words. Every
+    n-gram is kept, however rare; the table stays distributed.
     """
     runs = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?:\p{N}\s)?[\p{L}\p{M}]+"), F.lit(0))
     open_end = F.right(F.col(text), F.lit(1)).rlike(r"[\p{L}\p{M}]")
@@ -128,22 +126,53 @@ def train_word_ends(docs: DataFrame, text: str, grams: int = GRAMS) -> WordEnds:
 
     def spread(batches):
         for b in batches:
-            have: dict[tuple[str, str], int] = defaultdict(int)
+            have: dict[str, list[int]] = defaultdict(lambda: [0, 0])
             for w, n in zip(b["w"], b["n"]):
                 word = "0" + w[2:] if w[0].isnumeric() else "^" + w
                 for p in range(2, len(word) + 1):
-                    model = "end" if p == len(word) else "in"
+                    model = 0 if p == len(word) else 1
                     for i in range(max(0, p - ORDER), p):
-                        have[model, word[i:p]] += n
-            yield pd.DataFrame([(m, g, n) for (m, g), n in have.items()], columns=["model", "gram", "n"])
+                        have[word[i:p]][model] += n
+            yield pd.DataFrame([(g, *n) for g, n in have.items()], columns=["gram", "end", "in"])
+
+    return cut(counted.mapInPandas(spread, "gram string, end long, in long").groupBy("gram").agg(F.sum("end").alias("end"), F.sum("in").alias("in")))
+
+
+def word_odds(runs: DataFrame, grams: DataFrame) -> DataFrame:
+    """(run, copies, odds) for rows of (run, copies): word log-odds in steps of STEP, from all ``grams``.
+
+    ``runs`` has one row per ending of at most ORDER characters. Its substrings look up their counts by
+    join; only the two totals reach the driver.
+    """
+    t = grams.where(F.length("gram") == 1).agg(F.sum("end"), F.sum("in")).first()
+    totals = {"end": t[0] or 0, "in": t[1] or 0}
+
+    def pieces(i):
+        return F.transform(F.sequence(F.lit(1), F.length("run") - i + 1), lambda k: F.substring(F.col("run"), i, k))
+
+    each = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("run")), pieces)))
+    asked = cut(runs.select("run", F.explode(each).alias("gram")))
+    none = F.lit(0).cast("long")
+    after = grams.where(F.length("gram") > 1).select(F.substring("gram", F.lit(2), F.length("gram")).alias("gram"), none.alias("end"), none.alias("in"), F.col("end").alias("open_end"), F.col("in").alias("open_in"))
+    known = grams.select("gram", "end", "in", none.alias("open_end"), none.alias("open_in")).unionByName(after)
+    counts = ("end", "in", "open_end", "open_in")
+    known = known.groupBy("gram").agg(*[F.sum(c).alias(c) for c in counts])
+    table = cut(asked.groupBy("gram").agg(F.count("*").alias("askers")).join(known, "gram"))
+    entry = F.struct("gram", *counts).alias("g")
+    found = attach_by_key(asked, table, "gram", "askers").select("run", none.alias("copies"), entry)
+    blank = F.lit(None).cast(found.schema["g"].dataType).alias("g")  # a run of which nothing is known keeps its row
+    found = found.unionByName(runs.select("run", "copies", blank)).groupBy("run").agg(F.sum("copies").alias("copies"), F.collect_list("g").alias("g"))
+
+    def score(batches):
+        for b in batches:
+            odds = []
+            for run, gram, *ns in zip(b["run"], b["gram"], *(b[c] for c in counts)):
+                e, i, oe, oi = (dict(zip(gram, n)) for n in ns)
+                m = WordEnds({"end": e, "in": i}, {"end": oe | {"": totals["end"]}, "in": oi | {"": totals["in"]}})
+                odds.append(max(-CLIP, min(CLIP, round(m.log_odds(run) / STEP) * STEP)))
+            yield pd.DataFrame({"run": b["run"], "copies": b["copies"], "odds": odds})
 
-    each = cut(counted.mapInPandas(spread, "model string, gram string, n long").groupBy("model", "gram").agg(F.sum("n").alias("n")))
-    size = F.length("gram")
-    totals = {(r[0], r[1]): r[2] for r in each.groupBy("model", size).agg(F.sum("n")).collect()}
-    keep = F.lit(False)
-    for (m, k), total in totals.items():
-        keep = keep | ((F.col("model") == m) & (size == k) & (F.col("n") >= total / grams))
-    return WordEnds([tuple(r) for r in each.where(keep).select("model", "gram", "n").toLocalIterator()])
+    return cut(found.select("run", "copies", "g.gram", *[f"g.{c}" for c in counts]).mapInPandas(score, "run string, copies long, odds double"))
 
 
 def tails(docs: DataFrame, doc_id: str, text: str, source: str, kind: str) -> DataFrame:
@@ -196,25 +225,23 @@ def placed(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.coalesce(F.least("by_chars", "by_bytes"), F.lit("free"))).drop("by_chars", "by_bytes")
 
 
-def described(rows: DataFrame, model: WordEnds) -> DataFrame:
+def described(rows: DataFrame, grams: DataFrame) -> DataFrame:
     """Add script, last (the last three symbols) and odds (word log-odds in steps of STEP)."""
-    packed = [(m, g, n) for m, c in model.count.items() for g, n in c.items()]
-    shared = rows.sparkSession.sparkContext.broadcast(packed)
 
-    @F.pandas_udf("script string, last string, odds double")
+    @F.pandas_udf("script string, last string, run string")
     def describe(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m, seen = WordEnds(shared.value), {}
         for p in parts:
             out = []
             for t in p:
                 run = _RUN.search(t)
-                word = ("0" if run[1] else "^") + run[2].lower() if run else ""
-                if word and word not in seen:
-                    seen[word] = max(-CLIP, min(CLIP, round(m.log_odds(word) / STEP) * STEP))
-                out.append((script_of(t), "".join(symbols(t)[-3:]), seen[word] if word else 0.0))
-            yield pd.DataFrame(out, columns=["script", "last", "odds"])
+                word = ("0" if run[1] else "^") + run[2].lower() if run else None
+                out.append((script_of(t), "".join(symbols(t)[-3:]), word and word[-ORDER:]))
+            yield pd.DataFrame(out, columns=["script", "last", "run"])
 
-    return rows.withColumn("d", describe("tail")).select("id", "source", "kind", "place", "d.script", "d.last", "d.odds")
+    seen = cut(rows.withColumn("d", describe("tail")).select("id", "source", "kind", "place", "d.script", "d.last", "d.run"))
+    runs = cut(seen.where(F.col("run").isNotNull()).groupBy("run").agg(F.count("*").alias("copies")))
+    known = attach_by_key(seen, word_odds(runs, grams), "run", "copies").drop("run", "copies")
+    return known.unionByName(seen.where(F.col("run").isNull()).drop("run").withColumn("odds", F.lit(0.0)))
 
 
 class Fit:
@@ -285,8 +312,7 @@ def truncated(docs: DataFrame, doc_id: str, text: str, source: str, kind: str) -
     bounded by the symbol set and the kinds. Equal rows get equal results; other columns aren't read.
     """
     rows = cut(tails(docs, doc_id, text, source, kind))
-    model = train_word_ends(docs, text)
-    seen = cut(described(placed(rows, limits(rows)), model))
+    seen = cut(described(placed(rows, limits(rows)), word_grams(docs, text)))
     keys = ["kind", "script", "last", "place", "odds"]
     counts = [tuple(r) for r in seen.groupBy(*keys).count().toLocalIterator()]
     fit = Fit(counts)
