@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from voxloom.llm import lookalikes as la
@@ -28,3 +30,13 @@ def test_whole_column_and_empty_table(spark, model):
     empty = la.train(df.limit(0), "text")
     assert isinstance(empty, ScriptModel) and la.with_consistent(df.limit(0), "text", empty).count() == 0
     assert empty.consistent("Kеy") in ("Key", "Kеy")
+
+
+def test_large_alphabets_keep_trigrams(spark):
+    rng = random.Random(3)
+    signs = [chr(0x4E00 + i) for i in range(400)]
+    texts = ["b" + "".join(rng.choices(signs, k=1000)) for _ in range(400)]  # some 400,000 trigrams
+    texts += ["cape " * 5, "сох хсах хархо хрех хе " * 5000]  # bigrams speak for Cyrillic, trigrams for Latin
+    df = spark.createDataFrame([(t,) for t in [*texts, "саpе"]], "t string").repartition(4)
+    got = la.with_consistent(df, "t", la.train(df, "t")).where("t = 'саpе'").first()
+    assert got["form"] == "cape"

@@ -6,12 +6,17 @@ import math
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.llm.text import digest
+from voxloom.operators.joins import attach_by_key
+from voxloom.storage import cut
+
 # Letters of Latin, Cyrillic, Greek and Armenian that look the same, one group a line.
 LOOK_ALIKE = """
 AАΑ
@@ -60,7 +65,7 @@ yуγү
 """.split()
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian")
 KEPT = "…"  # a compatibility character that is ordinary punctuation here
-MAX_GRAMS = 300_000
+ORDER = 3  # characters of an n-gram
 CHANGE_COST = 1.0
 SWITCH_COST = 14.0
 
@@ -89,33 +94,37 @@ def settled(text: str) -> str:
     return _SPACE.sub(" ", text)
 
 
-class ScriptModel:
-    """Character n-grams of words that keep to one script, and the Viterbi search over look-alikes."""
+def mixed_words(text: str) -> list[str]:
+    """The distinct words of a settled text with letters of two scripts."""
+    return sorted({w for w in _WORD.findall(text) if len({_script(c) for c in w} - {None}) > 1})
+
+
+def lattice_grams(word: str) -> set[str]:
+    """The n-grams of all readings of a word, and their contexts."""
+    at = [("^",)] * (ORDER - 1) + [(c, *_TWINS.get(c, ())) for c in word] + [("$",)]
+    grams = {"".join(g) for i in range(len(word) + 1) for g in product(*at[i : i + ORDER])}
+    return grams | {g[:-1] for g in grams}
+
+
+class WordReader:
+    """The Viterbi search over look-alikes, given the counts of a word's ``lattice_grams``."""
 
-    def __init__(self, grams: dict[str, int], order: int):
-        self.order, self.grams = order, grams
-        self.contexts: dict[str, int] = {}
-        for g, n in grams.items():
-            self.contexts[g[:-1]] = self.contexts.get(g[:-1], 0) + n
-        self.letters = max(len({g[-1] for g in grams}), 1)
-        self.fix = lru_cache(maxsize=200_000)(self._fix)
+    def __init__(self, grams: dict[str, int], letters: int):
+        self.grams, self.letters = grams, letters
 
     def cost(self, context: str, c: str) -> float:
         """-log P(c | context) with add-half smoothing, plus SWITCH_COST where the script changes.
 
         Changes to Georgian (an ending on a foreign word) and from a word's start are free.
         """
-        n, k = self.grams.get(context + c, 0), self.contexts.get(context, 0)
+        n, k = self.grams.get(context + c, 0), self.grams.get(context, 0)
         out = -math.log((n + 0.5) / (k + 0.5 * self.letters))
         a, b = _script(context[-1]), _script(c)
         return out + (SWITCH_COST if a and b and a != b else 0.0)
 
-    def _fix(self, word: str) -> str:
-        """The cheapest reading of a word over its lattice of look-alikes, the word itself on ties."""
-        if len({_script(c) for c in word} - {None}) < 2:
-            return word
-        width = self.order - 1
-        best = {"^" * width: (0.0, "")}
+    def fix(self, word: str) -> str:
+        """The cheapest reading of a word over its lattice of look-alikes."""
+        best = {"^" * (ORDER - 1): (0.0, "")}
         for c in word:
             nxt: dict[str, tuple[float, str]] = {}
             for state, (cost, done) in best.items():
@@ -127,47 +136,108 @@ class ScriptModel:
             best = nxt
         return min((cost + self.cost(s, "$"), done) for s, (cost, done) in best.items())[1]
 
+
+class ScriptModel:
+    """Character trigrams of words that keep to one script, in a distributed table (gram, n).
+
+    ``letters``, the number of distinct last characters, is all that the driver holds.
+    """
+
+    def __init__(self, grams: DataFrame, letters: int):
+        self.grams, self.letters = grams, letters
+
+    def readings(self, words: DataFrame) -> DataFrame:
+        """(word, copies, reading) for rows of (word, copies), one per distinct word of two scripts.
+
+        The n-grams of a word's lattice look up their counts by join.
+        """
+        letters = self.letters
+
+        def spread(batches):
+            for b in batches:
+                rows = [(w, g) for w in b["word"] for g in lattice_grams(w)]
+                yield pd.DataFrame(rows, columns=["word", "gram"])
+
+        def read(batches):
+            for b in batches:
+                fixed = [WordReader(dict(zip(g, n)), letters).fix(w) for w, g, n in zip(b["word"], b["gram"], b["n"])]
+                yield pd.DataFrame({"word": b["word"], "copies": b["copies"], "reading": fixed})
+
+        asked = cut(words.select("word").mapInPandas(spread, "word string, gram string"))
+        contexts = self.grams.groupBy(F.substring("gram", 1, ORDER - 1).alias("gram")).agg(F.sum("n").alias("n"))
+        table = cut(asked.groupBy("gram").agg(F.count("*").alias("askers")).join(self.grams.unionByName(contexts), "gram"))
+        entry = F.struct("gram", "n").alias("g")
+        found = attach_by_key(asked, table, "gram", "askers").select("word", F.lit(0).cast("long").alias("copies"), entry)
+        blank = F.lit(None).cast(found.schema["g"].dataType).alias("g")  # a word of which nothing is known keeps its row
+        found = found.unionByName(words.select("word", "copies", blank)).groupBy("word").agg(F.sum("copies").alias("copies"), F.collect_list("g").alias("g"))
+        return found.select("word", "copies", "g.gram", "g.n").mapInPandas(read, "word string, copies long, reading string")
+
     def consistent(self, text: str | None) -> str | None:
-        """The consistent form; null stays null and '' stays ''. Applying it twice changes nothing more."""
-        if text is None or not _PLAIN.search(text):
-            return text
-        return _WORD.sub(lambda m: self.fix(m.group()), settled(text))
+        """The consistent form of one text; null stays null and '' stays ''. Applying it twice changes nothing more."""
+        form, words = _parts(text)
+        if not words:
+            return form
+        rows = self.grams.sparkSession.createDataFrame([(w, 1) for w in words], "word string, copies long")
+        got = {r["word"]: r["reading"] for r in self.readings(rows).collect()}
+        return _replaced(form, got)
+
+
+def _parts(text: str | None) -> tuple[str | None, list[str]]:
+    """The settled text and its words of two scripts."""
+    if text is None or not _PLAIN.search(text):
+        return text, []
+    form = settled(text)
+    return form, mixed_words(form)
+
 
+def _replaced(text: str, readings: dict[str, str]) -> str:
+    return _WORD.sub(lambda m: readings.get(m.group(), m.group()), text)
 
-def train(values: DataFrame, text: str, max_grams: int = MAX_GRAMS) -> ScriptModel:
+
+def train(values: DataFrame, text: str) -> ScriptModel:
     """Fit the model on all ``values``: words with a foreign letter that keep to one foreign script.
 
-    Words are counted by partial aggregation, then the n-grams of distinct words by count. The number of
-    n-grams is bounded by the alphabets, not the data; if trigrams pass ``max_grams``, bigrams are used.
+    Words are counted by partial aggregation, then the trigrams of distinct words by count. All are kept,
+    at every size; letters of other scripts may stand in such words, so their number has no small bound.
     """
     every = F.regexp_extract_all(F.col(text), F.lit(rf"[\p{{L}}\p{{M}}]*{_FOREIGN}[\p{{L}}\p{{M}}]*"), F.lit(0))
     counted = values.select(F.explode(every).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     mixed = F.lit(0)
     for s in SCRIPTS:
         mixed = mixed + F.col("w").rlike(rf"\p{{Is{s}}}").cast("int")
-    counted = counted.where(mixed == 1)
-    for order in (3, 2):
-        padded = F.concat(F.lit("^" * (order - 1)), "w", F.lit("$"))
-        grams = counted.select(
-            "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: F.substring(padded, i, F.lit(order)))).alias("g")
-        ).groupBy("g").agg(F.sum("n").alias("n"))
-        got = grams.limit(max_grams + 1).collect()
-        if len(got) <= max_grams:
-            return ScriptModel({r["g"]: r["n"] for r in got}, order)
-    raise ValueError(f"more than {max_grams} character bigrams")
+    padded = F.concat(F.lit("^" * (ORDER - 1)), "w", F.lit("$"))
+    each = F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: F.substring(padded, i, F.lit(ORDER)))
+    grams = cut(counted.where(mixed == 1).select("n", F.explode(each).alias("gram")).groupBy("gram").agg(F.sum("n").alias("n")))
+    return ScriptModel(grams, max(grams.select(F.substring("gram", ORDER, 1)).distinct().count(), 1))
 
 
 def with_consistent(df: DataFrame, text: str, model: ScriptModel, out: str = "form") -> DataFrame:
-    """Add ``out``, the consistent form of ``text``. Whole texts, one pass, no shuffle."""
-    grams, order = model.grams, model.order
+    """Add ``out``, the consistent form of ``text``.
 
-    @F.pandas_udf("string")
-    def form(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = ScriptModel(grams, order)
-        for p in parts:
-            yield pd.Series([m.consistent(t) for t in p], dtype=object)
+    Texts without words of two scripts pass through without a shuffle. Of the others the distinct words
+    are read once each, and their readings come back by join, under a digest of the settled text.
+    """
 
-    return df.withColumn(out, form(F.col(text)))
+    @F.pandas_udf("form string, words array<string>")
+    def parts(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for p in texts:
+            yield pd.DataFrame([_parts(t) for t in p], columns=["form", "words"])
+
+    @F.pandas_udf("string")
+    def replace(form: pd.Series, words: pd.Series, readings: pd.Series) -> pd.Series:
+        return pd.Series([_replaced(f, dict(zip(w, r))) for f, w, r in zip(form, words, readings)], dtype=object)
+
+    columns = [F.col(c) for c in df.columns]
+    rows = df.withColumn("_p", parts.asNondeterministic()(F.col(text)))  # else a filter on it evaluates it twice
+    several = F.size("_p.words") > 0
+    found = cut(rows.where(several).select(*columns, F.col("_p.form").alias("_form"), F.col("_p.words").alias("_words")).withColumn("_key", digest(F.col("_form"))))
+    texts = cut(found.groupBy("_key").agg(F.first("_words").alias("_words"), F.count("*").alias("_copies")))
+    pairs = cut(texts.select("_key", "_copies", F.explode("_words").alias("word")))
+    readings = cut(model.readings(cut(pairs.groupBy("word").agg(F.count("*").alias("copies")))))
+    read = attach_by_key(pairs, readings, "word", "copies")
+    table = cut(read.groupBy("_key").agg(F.max("_copies").alias("_copies"), F.collect_list(F.struct("word", "reading")).alias("_r")))
+    done = attach_by_key(found, table, "_key", "_copies").withColumn(out, replace("_form", "_r.word", "_r.reading"))
+    return rows.where(~several).select(*columns, F.col("_p.form").alias(out)).unionByName(done.select(*columns, out))
 
 
 def fields(df: DataFrame, tbl: str, key: str, *names: str) -> DataFrame:
