@@ -35,9 +35,14 @@ def test_copies_of_texts(spark, hot):
     for i, t in rows:
         if t and len(re.findall(r"[^\W_]+", t)) >= 6:
             groups["".join(c for c in t.lower() if c.isalnum())].append(i)
+    short = defaultdict(set)
+    for i, t in rows:
+        if t is not None and len(re.findall(r"[^\W_]+", t)) < 6:
+            short[t].add(i)
+    rest = {(min(g), len(g)) for g in short.values()} | {(i, 1) for i, t in rows if t is None}
     want = {(min(g), x) for g in groups.values() for x in set(g) if x != min(g)}
     assert {tuple(r) for r in dedup.copies_of(df, "id", "text", dedup.canonical_texts).collect()} == want
-    assert {tuple(r) for r in dedup.collapsed(df, "id", "text", dedup.canonical_texts).collect()} == {(min(g), len(g)) for g in groups.values()}
+    assert {tuple(r) for r in dedup.collapsed(df, "id", "text", dedup.canonical_texts).collect()} == {(min(g), len(g)) for g in groups.values()} | rest
     assert dedup.copies_of(df.limit(0), "id", "text", dedup.canonical_texts).count() == 0
 
 
@@ -47,6 +52,8 @@ def test_canonical_lines():
     other = ['{"id": "a", "text": "one two", "d": true}', '{"id": "a", "text": "one two", "d": "5"}', '{"id": "A", "text": "one two", "d": 5}', '{"id": "a", "text": "one two"}',
              '{"id": "a", "text": "one two", "d": null}', '{"id": "a", "text": "one two", "d": [5, {"x": -0.0}]}']
     assert len({dedup.canonical_line(x) for x in other} | {dedup.canonical_line(same[0])}) == len(other) + 1
+    long = '{"n": 123456789012345678901234567890123456789%s}'
+    assert len({dedup.canonical_line(long % x) for x in ("0", "1", "00", "0.50", "0.5", "0.51", "e1")}) == 5
     assert [dedup.canonical_line(x) for x in ("", "{", "[1]", '{"a": NaN}', '{"a": 1} x', "null")] == [None] * 6
 
 
@@ -54,6 +61,7 @@ def test_copies_of_lines(spark, hot):
     rows = [("3", json.dumps({"a": 1, "text": "X y"})), ("1", '{"text":"x Y!","a":1.0}'), ("2", '{"text":"x Y!","a":1.0}'), ("4", "{bad"), ("5", "{bad"), ("6", None)]
     df = spark.createDataFrame(rows, "line_id string, line string")
     assert {tuple(r) for r in dedup.copies_of(df, "line_id", "line", dedup.canonical_lines).collect()} == {("1", "2"), ("1", "3")}
+    assert {tuple(r) for r in dedup.collapsed(df, "line_id", "line", dedup.canonical_lines).collect()} == {("1", 3), ("4", 2), ("6", 1)}
 
 
 @pytest.mark.parametrize("seed", [1, 2])

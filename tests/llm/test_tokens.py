@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from voxloom.llm import mixing, packing, tokens
 
@@ -22,17 +23,18 @@ def test_sizes_equal_the_tokenizer(spark):
 
 
 def test_least_squares_reaches_an_exact_mix():
-    combos = packing.combinations(16)
-    assert all(15 <= r.sum() <= 16 for r in combos) and len({tuple(r) for r in combos}) == len(combos)
-    h = np.zeros(17)
-    for size, n in {10: 50, 6: 50, 8: 40, 5: 30, 3: 30}.items():
-        h[size] = n
-    x = packing.nnls(combos, h)
-    fit = np.zeros(17)
-    for row, v in zip(combos, x):
-        for s in row[row > 0]:
-            fit[s] += v
-    assert (x >= 0).all() and np.abs(fit - h).max() < 0.5
+    lengths = np.array([3, 5, 6, 8, 10])
+    sizes, times = packing.combinations(lengths, 16)
+    assert ((sizes * times).sum(1) == 16).all() and len(np.unique(np.concatenate([sizes, times], 1), axis=0)) == len(sizes)
+    assert {(10, 6, 0), (8, 5, 3)} <= {tuple(r) for r in sizes.tolist()}
+    h = np.zeros(6)
+    h[1:] = [30, 30, 50, 40, 50]
+    index = np.where(sizes > 0, np.searchsorted(lengths, sizes) + 1, 0)
+    x = packing.nnls(index, times, h, np.ones(6), rounds=2000, tolerance=1e-10)
+    fit = np.zeros(6)
+    for row, m, v in zip(index, times, x):
+        np.add.at(fit, row, m * v)
+    assert (x >= 0).all() and np.abs(fit - h)[1:].max() < 0.5
 
 
 @settings(max_examples=25, deadline=None)
@@ -46,6 +48,22 @@ def test_plan_places_every_item(histogram):
     assert used == Counter(histogram)
 
 
+@pytest.mark.parametrize(("lengths", "capacity", "fill"), [
+    ([33], 8192, 0.99), ([33], 2048, 0.99), (range(20, 60), 512, 0.99), (range(1, 2000), 2048, 0.99), (range(2000, 4000), 8192, 0.93),
+])
+def test_fill(lengths, capacity, fill):
+    rng = random.Random(5)
+    histogram = Counter(rng.choice(lengths) for _ in range(100_000))
+    containers = sum(n for _, n in packing.plan(histogram, capacity))
+    assert sum(s * n for s, n in histogram.items()) / (containers * capacity) > fill
+
+
+def test_lengths_beyond_the_exact_ones_round_up(spark):
+    ns = [1, 8191, 8192, 8193, 16385, 1_000_003]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in ns], "n long").select(packing.rounded(F.col("n"))).collect()]
+    assert got[:2] == [1, 8191] and all(n <= g <= n * (1 + 2**-12) for n, g in zip(ns, got))
+
+
 def test_packing(spark):
     rng = random.Random(2)
     sizes = {i: rng.choice([3, 40, 41, 100, 177, 300, 1000, 1700]) if i % 3 else 77 for i in range(2000)}
@@ -69,19 +87,25 @@ def test_packing(spark):
 
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), min_size=1, max_size=12), st.integers(0, 4000))
-def test_subset_sums_are_exact_where_possible(counts, budget):
+def test_subset_sums_leave_nothing_that_fits(counts, budget):
     got = mixing.subset_counts(counts, budget)
     assert all(0 < c <= counts[n] for n, c in got.items())
-    total = sum(n * c for n, c in got.items())
-    assert total <= budget
-    taken = {n: c * budget // sum(a * b for a, b in counts.items()) for n, c in counts.items()}
-    if budget >= sum(n * c for n, c in counts.items()):
-        assert got == counts
-    else:
-        reach = {sum(n * c for n, c in taken.items())}
-        for n, c in counts.items():
-            reach = {r + n * k for r in reach for k in range(c - taken[n] + 1)}
-        assert total == max(r for r in reach if r <= budget)
+    open_ = budget - sum(n * c for n, c in got.items())
+    assert open_ >= 0 and all(got.get(n, 0) == c or n > open_ for n, c in counts.items())
+    if 1 in counts and counts[1] > 2 * max(counts) + 1 and budget < sum(n * c for n, c in counts.items()):
+        assert open_ == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_taken_lengths_follow_the_source(seed):
+    rng = random.Random(seed)
+    for lengths in ([*range(1, 3000)], [int(rng.lognormvariate(5, 1)) + 1 for _ in range(3000)], [7] * 2000 + [400] * 1000):
+        counts = Counter(lengths)
+        budget = sum(lengths) * rng.randrange(20, 80) // 100
+        got = mixing.subset_counts(counts, budget, seed)
+        used = sum(n * c for n, c in got.items())
+        assert budget - used < min(counts) and abs(used / sum(got.values()) / (sum(lengths) / len(lengths)) - 1) < 0.02
+    assert mixing.subset_counts(counts, budget, 1) != mixing.subset_counts(counts, budget, 99) or len(counts) < 3
 
 
 def test_mix_reaches_shares(spark):

@@ -19,10 +19,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text of at least six words once, with the number of clips that carry it in any formatting."""
+    """Each record of train_manifest once, with the number of clips that carry its text in any formatting."""
     return dedup.collapsed(read(spark, sf_dir, "train_manifest"), "id", "text", dedup.canonical_texts)
 
 
+def p6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record of manifest_raw once, with the number of lines that carry it; broken lines by exact copy."""
+    return dedup.collapsed(read(spark, sf_dir, "manifest_raw"), "line_id", "line", dedup.canonical_lines)
+
+
 def _targets(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     return {r["split"]: r["target_share"] for r in read(spark, sf_dir, "split_target").where("target_share > 0").collect()}
 
@@ -52,7 +57,7 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p5_found": p5_found, "p5_assignment": p5_assignment, "p5_shares": p5_shares,
-    "p6_found": p6_found, "p6_copies": p6_copies,
+    "p6_found": p6_found, "p6_copies": p6_copies, "p6_lines": p6_lines,
 }
 
 _TOKENS = """
@@ -69,12 +74,35 @@ reach AS (SELECT x, y FROM pair UNION SELECT r.x, p.y FROM reach r JOIN pair p O
 
 _SQUEEZED = r"regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g')"
 
+# Canonical forms: of a text its letters and digits, of a line its fields in order with numbers as such; values
+# without one (too few words, broken lines) stand for themselves, null values for their row.
+_FORMS = rf"""
+clip AS (SELECT DISTINCT id, text, coalesce(len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) >= 6, false) AS canonical FROM train_manifest),
+line AS (SELECT DISTINCT line_id AS id, line, coalesce(json_type(CASE WHEN json_valid(line) THEN line END) = 'OBJECT', false) AS canonical FROM manifest_raw),
+field AS (SELECT line, unnest(json_keys(CASE WHEN canonical THEN line END)) AS k FROM (SELECT DISTINCT line, canonical FROM line)),
+value AS (SELECT line, k, json_type(line, '$."' || k || '"') AS t, json_extract_string(line, '$."' || k || '"') AS v FROM field),
+object AS (SELECT line, string_agg(k || '=' || CASE
+    WHEN k = 'text' AND t = 'VARCHAR' THEN 's' || regexp_replace(lower(v), '[^\p{{L}}\p{{N}}]+', '', 'g')
+    WHEN t = 'VARCHAR' THEN 's' || v WHEN t IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN 'n' || CAST(CAST(v AS DOUBLE) AS VARCHAR)
+    ELSE t || coalesce(v, '') END, chr(10) ORDER BY k) AS c FROM value GROUP BY line),
+form AS (
+  SELECT 'train_manifest' AS tbl, id, canonical, CASE WHEN canonical THEN 'c' || {_SQUEEZED} ELSE coalesce('r' || text, 'i' || id) END AS c FROM clip
+  UNION ALL SELECT 'manifest_raw', id, canonical, CASE WHEN canonical THEN 'c' || c ELSE coalesce('r' || line, 'i' || id) END
+  FROM line LEFT JOIN object USING (line))"""
+
 SQL = {
     "p5_found": f"""
 WITH RECURSIVE {_TOKENS}
 SELECT min(substr(x, 3)) AS speaker_a, substr(y, 3) AS speaker_b FROM reach
 WHERE x LIKE 's:%' AND y LIKE 's:%' GROUP BY y HAVING min(substr(x, 3)) <> substr(y, 3)""",
-    "p6_copies": rf"""
-SELECT min(id) AS id, count(*) AS copies FROM (SELECT DISTINCT id, text, {_SQUEEZED} AS c FROM train_manifest
-  WHERE len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) >= 6) GROUP BY c""",
+    "p6_found": rf"""
+WITH {_FORMS}
+SELECT tbl, min_id AS id_a, id AS id_b FROM (
+  SELECT DISTINCT tbl, id, min(id) OVER (PARTITION BY tbl, c) AS min_id FROM form WHERE canonical) WHERE id <> min_id""",
+    "p6_copies": f"""
+WITH {_FORMS}
+SELECT min(id) AS id, count(*) AS copies FROM form WHERE tbl = 'train_manifest' GROUP BY c""",
+    "p6_lines": f"""
+WITH {_FORMS}
+SELECT min(id) AS id, count(*) AS copies FROM form WHERE tbl = 'manifest_raw' GROUP BY c""",
 }

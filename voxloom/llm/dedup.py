@@ -19,9 +19,10 @@ MIN_WORDS = 6
 _NOT_WORD = regex.compile(r"[^\p{L}\p{N}]+")
 
 
-def canonical_texts(distinct: DataFrame) -> DataFrame:
-    """(key, raw) to (key, canon): letters and digits in lower case; texts under MIN_WORDS words go out."""
-    return distinct.where(F.size(words(F.col("raw"))) >= MIN_WORDS).select("key", squeezed(F.col("raw")).alias("canon"))
+def canonical_texts(distinct: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(key, raw) to (key, canon): letters and digits in lower case; null for texts under ``min_words`` words."""
+    enough = F.size(words(F.col("raw"))) >= min_words
+    return distinct.select("key", F.when(enough, squeezed(F.col("raw"))).alias("canon"))
 
 
 def _value(v):
@@ -31,8 +32,10 @@ def _value(v):
     if isinstance(v, list):
         return "[" + ",".join(map(_value, v)) + "]"
     if isinstance(v, (int, Decimal)) and not isinstance(v, bool):
-        d = Decimal(v)
-        return "0" if d == 0 else str(d.normalize())
+        sign, digits, exponent = Decimal(v).as_tuple()
+        text = "".join(map(str, digits)).lstrip("0")
+        kept = text.rstrip("0")  # every digit is kept, however long the number
+        return f"{'-' * sign}{kept}e{exponent + len(text) - len(kept)}" if kept else "0"
     return json.dumps(v, ensure_ascii=False)
 
 
@@ -58,12 +61,11 @@ def canonical_line(line: str, text_field: str = "text") -> str | None:
 
 
 def canonical_lines(distinct: DataFrame) -> DataFrame:
-    """(key, raw) to (key, canon) for JSON lines; broken lines go out."""
+    """(key, raw) to (key, canon) for JSON lines; null for broken lines."""
 
     def run(batches):
         for b in batches:
-            out = pd.DataFrame({"key": b["key"], "canon": [canonical_line(x) for x in b["raw"]]})
-            yield out[out["canon"].notna()]
+            yield pd.DataFrame({"key": b["key"], "canon": pd.Series([canonical_line(x) for x in b["raw"]], dtype=object)})
 
     return distinct.mapInPandas(run, "key binary, canon string")
 
@@ -72,13 +74,14 @@ def groups(df: DataFrame, id_col: str, raw: str, canonical: Callable[[DataFrame]
     """(members, forms, merged) of rows whose ``raw`` values have one canonical form.
 
     members: key, id, one row per distinct (id, raw). forms: key, canon, first_id, same, one row per
-    distinct raw value with the number of its rows. merged: canon, group_id (smallest id), copies,
-    variants (distinct raw values), one row per group of any size.
+    distinct raw value with the number of its rows; canon is null for values that ``canonical`` can't
+    compare. merged: canon, group_id (smallest id), copies, variants (distinct raw values), one row per
+    canonical form.
 
     Byte-identical values are collapsed and counted first (partial aggregation makes a value that holds
     a third of all rows cheap); only distinct survivors are canonicalised, and those are grouped on the
-    full canonical text. Null values and those ``canonical`` leaves out are in no group. Repeated rows
-    count once; other columns are not read.
+    full canonical text. Null values are in none of the three. Repeated rows count once; other columns
+    are not read.
     """
     rows = df.where(F.col(raw).isNotNull()).select(F.col(id_col).alias("id"), F.col(raw).alias("raw"))
     rows = rows.withColumn("key", digest(F.col("raw")))
@@ -86,7 +89,7 @@ def groups(df: DataFrame, id_col: str, raw: str, canonical: Callable[[DataFrame]
     counted = members.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("same"))
     distinct = rows.groupBy("key").agg(F.first("raw").alias("raw"))
     forms = cut(canonical(distinct).join(counted, "key"))
-    merged = forms.groupBy("canon").agg(
+    merged = forms.where(F.col("canon").isNotNull()).groupBy("canon").agg(
         F.min("first_id").alias("group_id"), F.sum("same").alias("copies"), F.count("*").alias("variants")
     )
     return members, forms, merged
@@ -95,17 +98,24 @@ def groups(df: DataFrame, id_col: str, raw: str, canonical: Callable[[DataFrame]
 def copies_of(df: DataFrame, id_col: str, raw: str, canonical: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id_a, id_b): one row per copy except the smallest id of its group, which is id_a.
 
-    Both joins back, from groups to raw values and from raw values to rows, are safe against a group
-    or a value that holds a third of all rows.
+    Only values with a canonical form have copies here. Both joins back, from groups to raw values and
+    from raw values to rows, are safe against a group or a value that holds a third of all rows.
     """
     members, forms, merged = groups(df, id_col, raw, canonical)
     several = cut(merged.where(F.col("copies") > 1).select(digest(F.col("canon")).alias("form"), "group_id", "variants"))
-    by_raw = forms.select("key", "same", digest(F.col("canon")).alias("form"))
+    by_raw = forms.where(F.col("canon").isNotNull()).select("key", "same", digest(F.col("canon")).alias("form"))
     table = cut(attach_by_key(by_raw, several, "form", "variants").select("key", "same", "group_id"))
     out = attach_by_key(members, table, "key", "same").where(F.col("id") != F.col("group_id"))
     return out.select(F.col("group_id").alias("id_a"), F.col("id").alias("id_b")).distinct()
 
 
 def collapsed(df: DataFrame, id_col: str, raw: str, canonical: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, copies): each group once under its smallest id, with the number of its copies."""
-    return groups(df, id_col, raw, canonical)[2].select(F.col("group_id").alias("id"), "copies")
+    """(id, copies): every record once, each group under its smallest id with the number of its copies.
+
+    A value without a canonical form (a text of too few words, a broken line) is a group of its exact
+    copies; a row whose value is null is a group of one.
+    """
+    _, forms, merged = groups(df, id_col, raw, canonical)
+    exact = forms.where(F.col("canon").isNull()).select(F.col("first_id").alias("id"), F.col("same").alias("copies"))
+    empty = df.where(F.col(raw).isNull()).select(F.col(id_col).alias("id")).distinct().withColumn("copies", F.lit(1).cast("long"))
+    return merged.select(F.col("group_id").alias("id"), "copies").unionByName(exact).unionByName(empty)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,30 +11,35 @@ from voxloom.operators.chunking import number_within_key
 from voxloom.storage import cut
 
 SEED = 20
-DP_TOKENS = 1 << 17
 
 
-def subset_counts(counts: dict[int, int], budget: int) -> dict[int, int]:
+def _chance(seed: int, source: str, length: int) -> int:
+    """A seeded 64-bit number of a length of a source."""
+    return int.from_bytes(blake2b(f"{seed} {source} {length}".encode(), digest_size=8).digest(), "big")
+
+
+def subset_counts(counts: dict[int, int], budget: int, seed: int = SEED, source: str = "") -> dict[int, int]:
     """How many items of each length to take so that their lengths add up to ``budget``, or as near below as found.
 
-    Every length first gives its share of the budget, rounded down, then long lengths give more until
-    under DP_TOKENS are open; the open part is a bounded knapsack, solved exactly by reachable sums kept
-    as bits, length by length (counts split into powers of two) until the budget is reached.
+    The histogram, scaled down to the budget less the longest length, is rounded along its lengths from a
+    seeded start, so the taken lengths follow the source at every scale and the sum misses by less than
+    the longest length. What is open then, at most twice that, is a bounded knapsack, solved exactly by
+    reachable sums kept as bits, over the lengths in a seeded order (counts split into powers of two).
     """
     total = sum(n * c for n, c in counts.items())
     if budget >= total:
         return dict(counts)
-    take = {n: c * budget // total for n, c in counts.items()}
+    goal = max(budget - max(counts), 0)
+    take, seen, taken = {}, 0, 0
+    start = _chance(seed, source, 0) % total
+    for n in sorted(counts):
+        seen += counts[n]
+        upto = (seen * goal + start) // total
+        take[n] = min(upto - taken, counts[n])
+        taken = upto
     left = budget - sum(n * c for n, c in take.items())
-    for n in sorted(counts, reverse=True):
-        if left <= DP_TOKENS:
-            break
-        k = min(counts[n] - take[n], (left - DP_TOKENS // 2) // n)
-        if k > 0:
-            take[n] += k
-            left -= k * n
     reach, mask, steps = 1, (1 << (left + 1)) - 1, []
-    for n in sorted(counts):
+    for n in sorted(counts, key=lambda n: _chance(seed, source, n)):
         free, k = min(counts[n] - take[n], left // n), 1
         while free > 0 and not reach >> left & 1:
             k = min(k, free)
@@ -70,8 +77,8 @@ def mix(
     """(doc_id, source, tokens, copies): how often each text is used, texts not used left out.
 
     ``targets`` maps a source to (share of the total, most repeats). A source is used whole as often as
-    its budget allows; the remaining budget is met by ``subset_counts`` over its lengths, and which texts
-    of a length get the extra copy is decided by a seeded hash. Texts without tokens and of sources
+    its budget allows; the remaining budget is met by ``subset_counts`` over its lengths, which the texts
+    taken follow, and which texts of a length get the extra copy is decided by a seeded hash. Texts without tokens and of sources
     without a target are left out. The driver sees the number of texts per (source, length): lengths
     add up to the tokens T of a source, so there are at most sqrt(2T) of them.
     """
@@ -86,10 +93,11 @@ def mix(
     for s, b in budgets(sizes, targets, total).items():
         times, rest = divmod(b, sizes[s])
         whole.append((s, times))
-        extra += [(s, n, c) for n, c in subset_counts(counts[s], rest).items()]
+        extra += [(s, n, c) for n, c in subset_counts(counts[s], rest, seed, s).items()]
     w = spark.createDataFrame(whole or [("", 0)], "source string, whole long")
     e = spark.createDataFrame(extra or [("", 0, 0)], "source string, tokens long, extra long")
-    numbered = number_within_key(items.withColumn("h", F.xxhash64("doc_id", F.lit(seed))), ["source", "tokens"], ["h", "doc_id"])
+    order = ["source", "tokens", "h", "doc_id"]  # a key's rows stand together, so few offsets are needed, yet split anywhere
+    numbered = number_within_key(items.withColumn("h", F.xxhash64("doc_id", F.lit(seed))), ["source", "tokens"], order)
     copies = F.coalesce("whole", F.lit(0)) + (F.col("rank_in_key") < F.coalesce("extra", F.lit(0))).cast("long")
     out = numbered.join(F.broadcast(w), "source", "left").join(e, ["source", "tokens"], "left")
     return out.select("doc_id", "source", "tokens", copies.alias("copies")).where("copies > 0")
