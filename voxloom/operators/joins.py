@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_KEYS = 1000
@@ -26,6 +26,44 @@ def attach_by_key(rows: DataFrame, table: DataFrame, key: str, copies: str, min_
     return rows.join(hot, key).unionByName(cold)
 
 
+def attach_unknown(rows: DataFrame, table: DataFrame, key: str, min_hot: int = MIN_HOT_ROWS) -> DataFrame:
+    """Inner join of many ``rows`` with a ``table`` of one row per key whose numbers of rows aren't known.
+
+    Rows are first counted by 65,536 buckets of the key's hash, then by key inside buckets that reach the
+    limit of ``attach_by_key``, so only there a count per key is shuffled. Hot keys, at most HOT_KEYS by
+    construction, meet broadcast rows of the table; all others go through a shuffle. Null keys match
+    nothing. ``rows`` is read up to three times, so pass a cheap or cut table.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(65_536))
+    buckets = rows.where(F.col(key).isNotNull()).groupBy(bucket.alias("b")).count()
+    limit = F.greatest(F.lit(min_hot), F.ceil(F.sum("count").over(Window.partitionBy()) / HOT_KEYS))
+    full = {r["b"]: r["l"] for r in buckets.withColumn("l", limit).where("count >= l").select("b", "l").collect()}
+    if not full:
+        return rows.join(table, key)
+    counts = rows.where(bucket.isin(list(full))).groupBy(key).count()
+    hot = [r[key] for r in counts.where(F.col("count") >= max(full.values())).select(key).collect()]
+    if not hot:
+        return rows.join(table, key)
+    is_hot = F.col(key).isin(hot)
+    return rows.where(is_hot).join(F.broadcast(table.where(is_hot)), key).unionByName(rows.where(~is_hot).join(table.where(~is_hot), key))
+
+
+def join_copies(rows: DataFrame, members: DataFrame, key: str, copies: str, member: str, min_hot: int = MIN_HOT_ROWS) -> DataFrame:
+    """Inner join in which both sides may repeat a key; ``members.copies`` is the number of its members.
+
+    A key with more members than the limit of ``attach_by_key`` is split: each member falls into one of
+    enough parts of about that size, by a hash of ``member``, and every row meets each part. At most
+    HOT_KEYS keys are split, so only those are broadcast. ``copies`` is dropped.
+    """
+    share = max(min_hot, -(-members.count() // HOT_KEYS))
+    parts = F.ceil(F.col(copies) / share).cast("int")
+    each = members.withColumn("_part", F.pmod(F.xxhash64(member), parts).cast("int"))
+    split = members.where(F.col(copies) > share).groupBy(key).agg(F.max(parts).alias("_parts"))
+    spread = rows.join(F.broadcast(split), key, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    spread = spread.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return spread.join(each.drop(copies), [key, "_part"]).drop("_part")
+
+
 def left_default(df: DataFrame, other: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
     """Left join on ``key``, with defaults where the other side has no row or null. One row per key there."""
     j = df.join(other.select(key, *defaults), key, "left")
