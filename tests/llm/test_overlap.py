@@ -85,3 +85,56 @@ def test_end_to_end(spark, tmp_path):
         assert {(r["id"], r["e"]) for r in got.collect()} == {("t1", "e1"), ("t2", "e1"), ("t1", "a9")}
     assert overlap.overlaps(t, e.limit(0)).count() == 0
     assert overlap.overlaps(t.limit(0), e).count() == 0
+
+
+def test_hits_of_one_text_in_parts(monkeypatch):
+    rng = random.Random(3)
+    evals = [list(x) for x in {tuple(rng.randrange(3) for _ in range(12)) for _ in range(200)}]
+    texts = [*evals[:20], [rng.randrange(3) for _ in range(150)], [rng.randrange(3) for _ in range(11)]]
+    s = overlap.Searcher(WordIndex.build([np.array(e) for e in evals], [bytes([i]) for i in range(len(evals))]).dumps())
+    args = (list(range(len(texts))), [np.array(t) for t in texts])
+    whole = sorted(s.search(*args))
+    monkeypatch.setattr(overlap, "HITS_AT_ONCE", 7)
+    assert sorted(s.search(*args)) == whole and len(whole) > 20
+
+
+def test_spans_are_maximal_matches():
+    text = np.array([1, 2, 3, 4, 5, 90, 6, 7, 8, 9, 10])
+    s = overlap.Searcher(WordIndex.build([np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 10])], [b"a"]).dumps())
+    assert list(s.search(["t"], [text])) == [("t", b"a", 11, 10, 10, 2, 10)]
+
+
+@pytest.mark.parametrize("vocabulary", [3, 12, 3000])
+def test_tables_equal_brute_force(spark, vocabulary, monkeypatch):
+    """Through routing, shards and lanes, with texts on both sides of every length limit, few and many words."""
+    monkeypatch.setattr(overlap, "COMMON", (4, 8))
+    rng = random.Random(vocabulary)
+    evals = [[rng.randrange(vocabulary) for _ in range(rng.choice([6, 7, 10, 31, 32, 33, 40, 41, 50, 51, 70, 130]))] for _ in range(60)] + [[1] * 8, [1] * 7 + [2]]
+    texts = []
+    for e in evals * 2:
+        t = list(e)
+        for _ in range(rng.randrange(0, max(2, len(t) // 4))):
+            p = rng.randrange(len(t))
+            kind = rng.randrange(3)
+            if kind == 0:
+                t[p] = rng.randrange(vocabulary + 5)
+            elif kind == 1:
+                t.insert(p, rng.randrange(vocabulary + 5))
+            elif len(t) > 6:
+                del t[p]
+        texts.append(t)
+    frames = []
+    for side in (texts, evals):
+        rows = [(f"{i:03d}", " ".join(f"w{x}" for x in t)) for i, t in enumerate(side)]
+        frames.append(overlap.word_classes(spark.createDataFrame(rows, "id string, text string"), "id", "text"))
+    (t_ids, t), (e_ids, e) = frames
+    pairs = overlap.overlaps(t, e, shard_words=600)
+    out = pairs.join(t_ids.withColumnRenamed("key", "train_key").withColumnRenamed("id", "a"), "train_key")
+    out = out.join(e_ids.withColumnRenamed("key", "eval_key").withColumnRenamed("id", "b"), "eval_key")
+    got = {(int(r["a"]), int(r["b"])): r["common"] for r in out.collect()}
+    want = {}
+    for a, x in enumerate(texts):
+        for b, y in enumerate(evals):
+            if min(len(x), len(y)) * 5 >= 4 * max(len(x), len(y)) and (c := lcs(x, y)) * 5 >= 4 * max(len(x), len(y)):
+                want[a, b] = c
+    assert got == want

@@ -83,6 +83,11 @@ class WordIndex:
         base = symbol * self.size
         return np.searchsorted(self.occ, base + lo), np.searchsorted(self.occ, base + hi)
 
+    def extend_rows(self, symbol: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One backward-search step per occurrence: (which rows have ``symbol`` before them, their new rows)."""
+        ok = self.bwt[rows] == symbol
+        return ok, np.searchsorted(self.occ, symbol[ok] * self.size + rows[ok])
+
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Text positions of suffix-array rows, by walking back to a sampled one."""
         rows, walked, out = rows.copy(), np.zeros(len(rows), np.int64), np.empty(len(rows), np.int64)

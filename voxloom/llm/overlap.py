@@ -5,8 +5,13 @@ covers SHARE of the longer text. Such a pair of n and m words leaves at most D =
 max(n, m)) words unmatched on either side, and each unmatched word breaks at most one of any set of
 disjoint blocks of the streamed text. So of any D + 1 disjoint blocks one stands unbroken in the partner.
 Backward search gives the occurrences of every short block; the D + 1 disjoint blocks with the fewest
-occurrences in sum are looked up (exact: no candidate is lost, none is capped). Hits are widened to
-maximal matches, merged per pair, and the pair is settled by an exact common-subsequence length.
+occurrences in sum are looked up (exact: no candidate is lost, none is capped). Backward search carries
+the occurrences in promising partners on to maximal matches, which are merged per pair, and the pair is
+settled by an exact common-subsequence length.
+
+The index comes in shards. A text is only sent to the shards that hold a text with which it shares two of
+its rarest words: with u = n - ceil(SHARE * n) words to spare, partners share all but u of either text's
+distinct words, hence two among the first u + 2 in any common order of words.
 """
 
 from __future__ import annotations
@@ -15,20 +20,24 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.fmindex import WordIndex
 from voxloom.llm.text import digest, words
+from voxloom.operators.joins import attach_unknown
 from voxloom.storage import cut
 
 MIN_WORDS = 6
 SHARE = (4, 5)
 SHARD_WORDS = 4_000_000
-LANE_TEXTS = 100_000
+LANE_TEXTS = 400_000
 MAX_BLOCK = 4
-LONG_TEXT = 64  # beyond, blocks of equal length instead of the cheapest ones: a long block is rare anyway
-PAIRS_AT_ONCE = 400_000
+WINDOW_WORDS = 64  # blocks are chosen window by window
+HITS_AT_ONCE = 400_000
+WORDS_AT_ONCE = 8_000_000
+COMMON = (64, 2048)  # a word on at least such a fraction of all evaluation words is common, so late in order
+PAIRED_WORDS = 40  # texts of more words are routed by single rare words, of which they have enough
 PAIRS = "train_key binary, eval_key binary, train_words int, eval_words int, common int, spans int, span_words int"
 
 
@@ -81,7 +90,7 @@ class Searcher:
 
     def __init__(self, blob: bytes):
         self.index = WordIndex.loads(blob)
-        self.text = self.index.text().astype(np.int64)
+        self.text = self.index.text()
         self.lens = np.diff(self.index.starts) - 1
 
     def blocks(self, sym: np.ndarray, starts: np.ndarray, lens: np.ndarray):
@@ -101,27 +110,32 @@ class Searcher:
             live = live[keep]
             live = live[sym[live - d - 1] >= 0]
         counts = (his - los).astype(np.float64)
-        left = np.repeat(lens, lens) - room
-        for d in range(MAX_BLOCK):
-            counts[d, left <= d] = np.inf
         out = []
         for n in np.unique(lens):
-            rows = np.flatnonzero(lens == n)
-            want = breaks(int(n)) + 1
-            if n <= LONG_TEXT:
-                grid = starts[rows][:, None] + np.arange(n)
-                chosen = cheapest_blocks(counts[:, grid], want)
-            else:
-                edge = np.arange(want + 1) * n // want
-                size = np.minimum(np.diff(edge), MAX_BLOCK)
-                chosen = [(np.full(len(rows), s), np.full(len(rows), k)) for s, k in zip(edge, size)]
-            for s, k in chosen:
-                at = starts[rows] + s
-                out.append(np.stack([rows, s, k, los[k - 1, at], his[k - 1, at]]))
+            rows, want = np.flatnonzero(lens == n), breaks(int(n)) + 1
+            windows = -(-int(n) // WINDOW_WORDS)
+            edge = np.arange(windows + 1) * int(n) // windows
+            for w in range(windows):
+                size = int(edge[w + 1] - edge[w])
+                share = -(-want * size // int(n))  # in sum at least ``want``
+                group = max(1, WORDS_AT_ONCE // (share * size * MAX_BLOCK))
+                for g in range(0, len(rows), group):
+                    mine = rows[g : g + group]
+                    first = starts[mine] + edge[w]
+                    cost = counts[:, first[:, None] + np.arange(size)]
+                    for d in range(MAX_BLOCK):
+                        cost[d, :, max(size - d, 0) :] = np.inf
+                    for s, k in cheapest_blocks(cost, share):
+                        at = first + s
+                        out.append(np.stack([mine, edge[w] + s, k, los[k - 1, at], his[k - 1, at]]))
         return np.concatenate(out, axis=1) if out else np.zeros((5, 0), np.int64)
 
-    def search(self, keys: list[bytes], texts: list[np.ndarray]):
-        """Rows of PAIRS for a batch of word-hash sequences."""
+    def search(self, keys: list, texts: list[np.ndarray]):
+        """Rows of PAIRS for a batch of word-hash sequences.
+
+        Hits are followed up in bounded numbers, also within a text; of those, the ones in partners that
+        share enough words wait until all hits of their text are known.
+        """
         lens = np.array([len(t) for t in texts], np.int64)
         starts = np.concatenate(([0], np.cumsum(lens)))[:-1]
         sym = self.index.symbols(np.concatenate(texts))
@@ -130,68 +144,94 @@ class Searcher:
         block = block[:, np.argsort(block[0], kind="stable")]
         count = block[4] - block[3]
         ends = np.cumsum(count)
-        vocab = len(self.index.vocab) + 2
-        have = np.unique(np.repeat(np.arange(len(lens)), lens) * vocab + sym + 1)
-        first = 0
-        while first < len(ends):  # whole texts at a time, bounded numbers of hits
-            done = ends[first - 1] if first else 0
-            last = max(first + 1, int(np.searchsorted(ends, done + PAIRS_AT_ONCE, side="right")))
-            while last < len(ends) and block[0, last] == block[0, last - 1]:
-                last += 1
-            yield from self.settle(block[:, first:last], count[first:last], keys, sym, starts, lens, have, vocab)
+        longest = np.maximum.accumulate(lens[block[0]][::-1])[::-1] if len(count) else count
+        have = np.unique(np.repeat(np.arange(len(lens)), lens) * (len(self.index.vocab) + 2) + sym + 1)
+        total, first, waiting = int(ends[-1]) if len(ends) else 0, 0, []
+        while first < total:
+            head = int(np.searchsorted(ends, first, side="right"))
+            last = min(total, first + max(1, min(HITS_AT_ONCE, WORDS_AT_ONCE // int(longest[head]))))
+            flat = np.arange(first, last)
+            which = np.searchsorted(ends, flat, side="right")
+            rows = block[4][which] - (ends[which] - flat)
+            waiting.append(self.promising(block[:3, which], rows, lens, have))
+            if last == total or block[0, which[-1]] != block[0, min(head, len(count) - 1)]:
+                hits = np.concatenate(waiting, axis=1)
+                open_ = np.full(hits.shape[1], last < total) & (hits[0] == block[0, which[-1]])
+                yield from self.settle(hits[:, ~open_], keys, sym, starts, lens)
+                waiting = [hits[:, open_]]
             first = last
 
-    def settle(self, block, count, keys, sym, starts, lens, have, vocab):
-        ix = self.index
-        which = np.repeat(np.arange(len(count)), count)
-        rows = block[3][which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    def promising(self, block: np.ndarray, rows: np.ndarray, lens: np.ndarray, have: np.ndarray) -> np.ndarray:
+        """(text, start, length, row, sequence, start in it) of the hits whose partner has enough of the text's words."""
+        ix, vocab = self.index, len(self.index.vocab) + 2
+        t, i, k = block
         pos = ix.locate(rows)
         doc = np.searchsorted(ix.starts, pos, side="right") - 1
-        t, i, k = block[0][which], block[1][which], block[2][which]
         q, n, m = pos - ix.starts[doc], lens[t], self.lens[doc]
-        need = needed(np.maximum(n, m))
-        most = np.minimum(i, q) + k + np.minimum(n - i - k, m - q - k)
-        ok = most >= need
-        t, i, k, q, doc = t[ok], i[ok], k[ok], q[ok], doc[ok]
-        pair = t * len(self.lens) + doc
-        order = np.argsort(pair, kind="stable")
-        t, i, k, q, doc, pair = (x[order] for x in (t, i, k, q, doc, pair))
-        heads = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, np.int64)
-        tails = np.append(heads[1:], len(pair))
-        ht, hd = t[heads], doc[heads]
-        size = self.lens[hd]
-        flat = np.repeat(ix.starts[hd], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        probe = np.repeat(ht, size) * vocab + self.text[flat] + 1
+        ok = np.minimum(i, q) + k + np.minimum(n - i - k, m - q - k) >= needed(np.maximum(n, m))
+        t, i, k, rows, doc, q = (x[ok] for x in (t, i, k, rows, doc, q))
+        pair, back = np.unique(t * len(self.lens) + doc, return_inverse=True)
+        if not len(pair):
+            return np.zeros((6, 0), np.int64)
+        pt, pd_ = pair // len(self.lens), pair % len(self.lens)
+        size = self.lens[pd_]
+        flat = np.repeat(ix.starts[pd_], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        probe = np.repeat(pt, size) * vocab + self.text[flat] + 1
         at = np.minimum(np.searchsorted(have, probe), len(have) - 1)
-        shared = np.add.reduceat((have[at] == probe).astype(np.int64), np.cumsum(size) - size) if len(size) else size
-        good = np.flatnonzero(shared >= needed(np.maximum(lens[ht], size)))
-        was, masks = -1, {}
-        for g in good:
-            a, e = ht[g], hd[g]
-            own = sym[starts[a] : starts[a] + lens[a]]
-            other = self.text[ix.starts[e] : ix.starts[e] + size[g]]
-            if a != was:
-                was, masks = a, {}
+        shared = np.add.reduceat((have[at] == probe).astype(np.int64), np.cumsum(size) - size)
+        good = (shared >= needed(np.maximum(lens[pt], size)))[back]
+        return np.stack([x[good] for x in (t, i, k, rows, doc, q)])
+
+    def settle(self, hits: np.ndarray, keys: list, sym: np.ndarray, starts: np.ndarray, lens: np.ndarray):
+        """Rows of PAIRS from all promising hits of some texts."""
+        ix = self.index
+        hits = hits[:, np.lexsort((hits[4], hits[0]))]
+        t, doc = hits[0], hits[4]
+        heads = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (doc[1:] != doc[:-1])))) if len(t) else np.zeros(0, np.int64)
+        kept, was, masks = [], -1, {}
+        for a, z in zip(heads, [*heads[1:], len(t)]):
+            own = sym[starts[t[a]] : starts[t[a]] + lens[t[a]]]
+            other = self.text[ix.starts[doc[a]] : ix.starts[doc[a]] + self.lens[doc[a]]]
+            if t[a] != was:
+                was, masks = t[a], {}
                 for p, w in enumerate(own.tolist()):
                     if w >= 0:
                         masks[w] = masks.get(w, 0) | 1 << p
             common = common_words(masks, len(own), other.tolist())
             if common >= needed(max(len(own), len(other))):
-                spans = merged_matches(own, other, [(i[x], q[x], k[x]) for x in range(heads[g], tails[g])])
-                yield keys[a], ix.keys[e], len(own), len(other), common, len(spans), sum(y - x for x, y in spans)
-
-
-def merged_matches(own: np.ndarray, other: np.ndarray, hits: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Widen hits (start in own, start in other, length) to maximal matches; merge them as spans of own."""
-    wide = set()
-    for a, b, k in hits:
-        while a and b and own[a - 1] == other[b - 1]:
-            a, b, k = a - 1, b - 1, k + 1
-        while a + k < len(own) and b + k < len(other) and own[a + k] == other[b + k]:
-            k += 1
-        wide.add((int(a), int(a + k)))
+                kept.append((a, z, common))
+        if kept:
+            left, right = self.maximal(hits, sym, starts, lens)
+            for a, z, common in kept:
+                spans = merged(zip(left[a:z].tolist(), right[a:z].tolist()))
+                yield keys[t[a]], ix.keys[doc[a]], int(lens[t[a]]), int(self.lens[doc[a]]), common, len(spans), sum(y - x for x, y in spans)
+
+    def maximal(self, hits: np.ndarray, sym: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end, in their text, of the maximal matches around hits.
+
+        Backward search goes on from each occurrence as long as the words before agree; to the right the
+        restored text is compared.
+        """
+        t, i, k, rows, doc, q = hits.copy()
+        right, at = i + k, self.index.starts[doc] + q + k  # a sequence ends in a 0, which no word equals
+        live = np.arange(len(t))
+        while len(live := live[i[live] > 0]):
+            ok, new = self.index.extend_rows(sym[starts[t[live]] + i[live] - 1], rows[live])
+            live = live[ok]
+            rows[live] = new
+            i[live] -= 1
+        live = np.arange(len(t))
+        while len(live := live[right[live] < lens[t[live]]]):
+            live = live[sym[starts[t[live]] + right[live]] == self.text[at[live]]]
+            right[live] += 1
+            at[live] += 1
+        return i, right
+
+
+def merged(spans) -> list[tuple[int, int]]:
+    """Spans that touch or overlap merged, in order."""
     out: list[tuple[int, int]] = []
-    for a, z in sorted(wide):
+    for a, z in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(z, out[-1][1]))
         else:
@@ -211,8 +251,8 @@ def word_classes(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, Data
     return w.select("key", "id").distinct(), w.select("key", hashes.alias("w")).groupBy("key").agg(F.first("w").alias("w"))
 
 
-def index_shards(classes: DataFrame, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, int]:
-    """(shard, blob) and the number of shards: every shard holds about ``shard_words`` words at most."""
+def index_shards(classes: DataFrame, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, int]:
+    """(classes with shard, (shard, blob), number of shards): a shard holds about ``shard_words`` words at most."""
     classes = cut(classes)
     total = classes.agg(F.sum(F.size("w"))).first()[0] or 0
     shards = max(1, -(-total // shard_words))
@@ -222,26 +262,65 @@ def index_shards(classes: DataFrame, shard_words: int = SHARD_WORDS) -> tuple[Da
         return pd.DataFrame({"shard": [key[0]], "blob": [ix.dumps()]})
 
     placed = classes.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    return cut(placed.groupBy("shard").applyInPandas(build, "shard int, blob binary")), shards
+    return placed, cut(placed.groupBy("shard").applyInPandas(build, "shard int, blob binary")), shards
+
+
+def common_tiers(classes: DataFrame) -> list[list[int]]:
+    """Per fraction 1/c of COMMON the words that make up at least that fraction of all words, at most c."""
+    counts = classes.select(F.explode("w").alias("w")).groupBy("w").count()
+    total = classes.agg(F.sum(F.size("w"))).first()[0] or 1
+    frequent = counts.where(F.col("count") * max(COMMON) >= total).collect()
+    return [[r["w"] for r in frequent if r["count"] * c >= total] for c in COMMON]
+
+
+def routes(w: Column, tiers: list[list[int]], streamed: bool) -> Column:
+    """Keys of a text of which partners share one: pairs of its rarest words.
+
+    Words are ordered by tier, then hash. A text with too few different words, which might share but one
+    with a partner, and one of more than PAIRED_WORDS words, give single words as well or instead; the
+    indexed side gives both wherever a partner may give either.
+    """
+    n = F.size(w)
+    spare = n - F.floor((n * SHARE[0] + SHARE[1] - 1) / SHARE[1])
+    tier = lambda x: sum((x.isin(t).cast("int") for t in tiers if t), F.lit(0))
+    rare = F.array_sort(F.transform(F.array_distinct(w), lambda x: F.struct(tier(x).alias("t"), x.alias("x"))))
+    rare = F.transform(rare, lambda r: r["x"])
+    firsts = F.slice(rare, F.lit(1), (spare + 2).cast("int"))
+    pairs = F.flatten(F.transform(firsts, lambda x, i: F.transform(
+        F.slice(firsts, i + 2, F.greatest(F.size(firsts) - i - 1, F.lit(0))), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
+    singles = F.transform(F.slice(rare, F.lit(1), (spare + 1).cast("int")), lambda x: F.xxhash64(x))
+    none = F.array().cast("array<long>")
+    few = F.size(rare) < spare + 2
+    upto = PAIRED_WORDS if streamed else PAIRED_WORDS * SHARE[1] // SHARE[0]
+    above = PAIRED_WORDS if streamed else PAIRED_WORDS * SHARE[0] // SHARE[1] - 1
+    return F.concat(F.when(n <= upto, pairs).otherwise(none), F.when((n > above) | few, singles).otherwise(none))
 
 
 def overlaps(train: DataFrame, evals: DataFrame, shard_words: int = SHARD_WORDS, lane_texts: int = LANE_TEXTS) -> DataFrame:
     """Pairs of distinct word sequences that overlap; columns PAIRS.
 
     ``train`` and ``evals`` are classes from ``word_classes``. The evaluation side becomes index shards
-    of bounded size; every shard meets all training classes, in lanes of about ``lane_texts`` classes.
-    A lane's index row comes first in its partition and its texts stream past in batches, so memory is
-    one shard plus one batch whatever the sizes. If either side is empty there are no pairs.
+    of bounded size. Of the training side only keys of rare word pairs are shuffled; a text then goes to
+    the shards that know one of its keys, in lanes of about ``lane_texts`` texts a shard, so the index is
+    copied once per lane and texts that no shard can match are not moved. A lane's index row comes first
+    in its partition and its texts stream past in batches: memory is one shard plus one batch whatever
+    the sizes. If either side is empty there are no pairs.
     """
     spark = train.sparkSession
-    train = cut(train)
-    index, shards = index_shards(evals, shard_words)
-    lanes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-train.count() // lane_texts))
+    train = cut(train.withColumn("row", F.monotonically_increasing_id()))
+    placed, index, shards = index_shards(evals, shard_words)
+    tiers = common_tiers(placed)
+    spots = placed.select("shard", F.explode(F.array_distinct(routes(F.col("w"), tiers, False))).alias("route"))
+    spots = cut(spots.groupBy("route").agg(F.collect_set("shard").alias("shards")))
+    asked = train.select("row", F.explode(F.array_distinct(routes(F.col("w"), tiers, True))).alias("route"))
+    sent = attach_unknown(asked, spots, "route").select("row", F.explode("shards").alias("shard")).distinct()
+    sent = cut(sent.groupBy("row").agg(F.collect_list("shard").alias("shards")))
+    texts = cut(train.join(sent, "row").select("key", "w", "shards"))
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    moves = texts.agg(F.sum(F.size("shards"))).first()[0] or 0
+    lanes = max(-(-parallel // shards), -(-moves // (shards * lane_texts)))
     lane = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(lanes)).cast("int")
-    texts = train.select(
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), lane.alias("lane"), F.lit(1).alias("kind"), "key", "w",
-        F.lit(None).cast("binary").alias("blob"),
-    )
+    texts = texts.select(F.explode("shards").alias("shard"), lane.alias("lane"), F.lit(1).alias("kind"), "key", "w", F.lit(None).cast("binary").alias("blob"))
     blobs = index.select(
         "shard", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(0).alias("kind"),
         F.lit(None).cast("binary").alias("key"), F.lit(None).cast("array<long>").alias("w"), "blob",
