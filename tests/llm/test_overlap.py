@@ -61,7 +61,7 @@ def test_search_equals_brute_force(vocabulary):
     s = overlap.Searcher(WordIndex.build([np.array(e) for e in uniq], [i.to_bytes(2, "big") for i in range(len(uniq))]).dumps())
     got = {}
     for a, b, n, m, common, spans, covered in s.search(list(range(len(texts))), [np.array(t) for t in texts]):
-        assert (a, b) not in got and 0 < covered <= n and spans
+        assert (a, b) not in got and 3 * spans <= covered <= n
         got[a, int.from_bytes(b, "big")] = common
     want = {}
     for a, t in enumerate(texts):

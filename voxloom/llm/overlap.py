@@ -5,9 +5,9 @@ covers SHARE of the longer text. Such a pair of n and m words leaves at most D =
 max(n, m)) words unmatched on either side, and each unmatched word breaks at most one of any set of
 disjoint blocks of the streamed text. So of any D + 1 disjoint blocks one stands unbroken in the partner.
 Backward search gives the occurrences of every short block; the D + 1 disjoint blocks with the fewest
-occurrences in sum are looked up (exact: no candidate is lost, none is capped). Backward search carries
-the occurrences in promising partners on to maximal matches, which are merged per pair, and the pair is
-settled by an exact common-subsequence length.
+occurrences in sum are looked up (exact: no candidate is lost, none is capped). Partners so found are
+settled by an exact common-subsequence length, and backward search, carried on from each occurrence, gives
+the maximal matches of a pair, which are merged into spans.
 
 The index comes in shards. A text is only sent to the shards that hold a text with which it shares two of
 its rarest words: with u = n - ceil(SHARE * n) words to spare, partners share all but u of either text's
@@ -33,6 +33,7 @@ SHARE = (4, 5)
 SHARD_WORDS = 4_000_000
 LANE_TEXTS = 400_000
 MAX_BLOCK = 4
+MATCH_WORDS = 3
 WINDOW_WORDS = 64  # blocks are chosen window by window
 HITS_AT_ONCE = 400_000
 WORDS_AT_ONCE = 8_000_000
@@ -133,8 +134,8 @@ class Searcher:
     def search(self, keys: list, texts: list[np.ndarray]):
         """Rows of PAIRS for a batch of word-hash sequences.
 
-        Hits are followed up in bounded numbers, also within a text; of those, the ones in partners that
-        share enough words wait until all hits of their text are known.
+        Hits are followed up in bounded numbers, also within a text; of a text only the partners that
+        share enough words are kept until all its hits are known.
         """
         lens = np.array([len(t) for t in texts], np.int64)
         starts = np.concatenate(([0], np.cumsum(lens)))[:-1]
@@ -142,90 +143,107 @@ class Searcher:
         block = self.blocks(sym, starts, lens)
         block = block[:, block[4] > block[3]]
         block = block[:, np.argsort(block[0], kind="stable")]
-        count = block[4] - block[3]
-        ends = np.cumsum(count)
-        longest = np.maximum.accumulate(lens[block[0]][::-1])[::-1] if len(count) else count
         have = np.unique(np.repeat(np.arange(len(lens)), lens) * (len(self.index.vocab) + 2) + sym + 1)
-        total, first, waiting = int(ends[-1]) if len(ends) else 0, 0, []
+        waiting = np.zeros(0, np.int64)
+        for which, rows, last in self.hits(block[3], block[4], lens[block[0]]):
+            waiting = np.union1d(waiting, self.promising(block[:3, which], rows, lens, have))
+            done = len(waiting) if last else np.searchsorted(waiting, block[0, which[-1]] * len(self.lens))
+            yield from self.settle(waiting[:done], keys, sym, starts, lens)
+            waiting = waiting[done:]
+
+    def hits(self, lo: np.ndarray, hi: np.ndarray, words: np.ndarray):
+        """(which interval, row, whether these are the last) of all rows of the intervals [lo, hi), in bounded numbers.
+
+        ``words`` is what a row of an interval costs at most.
+        """
+        ends = np.cumsum(hi - lo)
+        dearest = np.maximum.accumulate(words[::-1])[::-1]
+        total, first = int(ends[-1]) if len(ends) else 0, 0
         while first < total:
             head = int(np.searchsorted(ends, first, side="right"))
-            last = min(total, first + max(1, min(HITS_AT_ONCE, WORDS_AT_ONCE // int(longest[head]))))
+            last = min(total, first + max(1, min(HITS_AT_ONCE, WORDS_AT_ONCE // int(dearest[head]))))
             flat = np.arange(first, last)
             which = np.searchsorted(ends, flat, side="right")
-            rows = block[4][which] - (ends[which] - flat)
-            waiting.append(self.promising(block[:3, which], rows, lens, have))
-            if last == total or block[0, which[-1]] != block[0, min(head, len(count) - 1)]:
-                hits = np.concatenate(waiting, axis=1)
-                open_ = np.full(hits.shape[1], last < total) & (hits[0] == block[0, which[-1]])
-                yield from self.settle(hits[:, ~open_], keys, sym, starts, lens)
-                waiting = [hits[:, open_]]
+            yield which, hi[which] - (ends[which] - flat), last == total
             first = last
 
     def promising(self, block: np.ndarray, rows: np.ndarray, lens: np.ndarray, have: np.ndarray) -> np.ndarray:
-        """(text, start, length, row, sequence, start in it) of the hits whose partner has enough of the text's words."""
+        """Distinct pairs (text * sequences + sequence) that the hits allow and that share enough words."""
         ix, vocab = self.index, len(self.index.vocab) + 2
         t, i, k = block
         pos = ix.locate(rows)
         doc = np.searchsorted(ix.starts, pos, side="right") - 1
         q, n, m = pos - ix.starts[doc], lens[t], self.lens[doc]
         ok = np.minimum(i, q) + k + np.minimum(n - i - k, m - q - k) >= needed(np.maximum(n, m))
-        t, i, k, rows, doc, q = (x[ok] for x in (t, i, k, rows, doc, q))
-        pair, back = np.unique(t * len(self.lens) + doc, return_inverse=True)
+        pair = np.unique(t[ok] * len(self.lens) + doc[ok])
         if not len(pair):
-            return np.zeros((6, 0), np.int64)
-        pt, pd_ = pair // len(self.lens), pair % len(self.lens)
-        size = self.lens[pd_]
-        flat = np.repeat(ix.starts[pd_], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        probe = np.repeat(pt, size) * vocab + self.text[flat] + 1
+            return pair
+        t, doc = pair // len(self.lens), pair % len(self.lens)
+        size = self.lens[doc]
+        flat = np.repeat(ix.starts[doc], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        probe = np.repeat(t, size) * vocab + self.text[flat] + 1
         at = np.minimum(np.searchsorted(have, probe), len(have) - 1)
         shared = np.add.reduceat((have[at] == probe).astype(np.int64), np.cumsum(size) - size)
-        good = (shared >= needed(np.maximum(lens[pt], size)))[back]
-        return np.stack([x[good] for x in (t, i, k, rows, doc, q)])
-
-    def settle(self, hits: np.ndarray, keys: list, sym: np.ndarray, starts: np.ndarray, lens: np.ndarray):
-        """Rows of PAIRS from all promising hits of some texts."""
-        ix = self.index
-        hits = hits[:, np.lexsort((hits[4], hits[0]))]
-        t, doc = hits[0], hits[4]
-        heads = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (doc[1:] != doc[:-1])))) if len(t) else np.zeros(0, np.int64)
-        kept, was, masks = [], -1, {}
-        for a, z in zip(heads, [*heads[1:], len(t)]):
-            own = sym[starts[t[a]] : starts[t[a]] + lens[t[a]]]
-            other = self.text[ix.starts[doc[a]] : ix.starts[doc[a]] + self.lens[doc[a]]]
-            if t[a] != was:
-                was, masks = t[a], {}
-                for p, w in enumerate(own.tolist()):
+        return pair[shared >= needed(np.maximum(lens[t], size))]
+
+    def settle(self, pairs: np.ndarray, keys: list, sym: np.ndarray, starts: np.ndarray, lens: np.ndarray):
+        """Rows of PAIRS from all promising pairs of some texts."""
+        ix, kept, was, masks = self.index, [], -1, {}
+        for pair in pairs.tolist():
+            t, doc = divmod(pair, len(self.lens))
+            other = self.text[ix.starts[doc] : ix.starts[doc] + self.lens[doc]]
+            if t != was:
+                was, masks = t, {}
+                for p, w in enumerate(sym[starts[t] : starts[t] + lens[t]].tolist()):
                     if w >= 0:
                         masks[w] = masks.get(w, 0) | 1 << p
-            common = common_words(masks, len(own), other.tolist())
-            if common >= needed(max(len(own), len(other))):
-                kept.append((a, z, common))
-        if kept:
-            left, right = self.maximal(hits, sym, starts, lens)
-            for a, z, common in kept:
-                spans = merged(zip(left[a:z].tolist(), right[a:z].tolist()))
-                yield keys[t[a]], ix.keys[doc[a]], int(lens[t[a]]), int(self.lens[doc[a]]), common, len(spans), sum(y - x for x, y in spans)
-
-    def maximal(self, hits: np.ndarray, sym: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end, in their text, of the maximal matches around hits.
-
-        Backward search goes on from each occurrence as long as the words before agree; to the right the
+            common = common_words(masks, int(lens[t]), other.tolist())
+            if common >= needed(max(int(lens[t]), len(other))):
+                kept.append((pair, common))
+        spans = self.maximal(np.array([p for p, _ in kept], np.int64), sym, starts, lens) if kept else {}
+        for pair, common in kept:
+            t, doc = divmod(pair, len(self.lens))
+            own = merged(spans.get(pair, ()))
+            yield keys[t], ix.keys[doc], int(lens[t]), int(self.lens[doc]), common, len(own), sum(z - a for a, z in own)
+
+    def maximal(self, pairs: np.ndarray, sym: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> dict[int, set]:
+        """Per pair the maximal matches of at least MATCH_WORDS words, as (start, end) in the text.
+
+        Every such match covers two words from an even place on, so those are looked up; backward search
+        goes on from each occurrence in a partner as long as the words before agree, and to the right the
         restored text is compared.
         """
-        t, i, k, rows, doc, q = hits.copy()
-        right, at = i + k, self.index.starts[doc] + q + k  # a sequence ends in a 0, which no word equals
-        live = np.arange(len(t))
-        while len(live := live[i[live] > 0]):
-            ok, new = self.index.extend_rows(sym[starts[t[live]] + i[live] - 1], rows[live])
-            live = live[ok]
-            rows[live] = new
-            i[live] -= 1
-        live = np.arange(len(t))
-        while len(live := live[right[live] < lens[t[live]]]):
-            live = live[sym[starts[t[live]] + right[live]] == self.text[at[live]]]
-            right[live] += 1
-            at[live] += 1
-        return i, right
+        ix, out = self.index, {}
+        texts = np.unique(pairs // len(self.lens))
+        n = lens[texts] // 2
+        t = np.repeat(texts, n)
+        i = 2 * (np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n))
+        known = (sym[starts[t] + i] >= 0) & (sym[starts[t] + i + 1] >= 0)
+        t, i = t[known], i[known]
+        lo, hi = ix.extend(sym[starts[t] + i + 1], np.zeros(len(t), np.int64), np.full(len(t), ix.size))
+        lo, hi = ix.extend(sym[starts[t] + i], lo, hi)
+        for which, rows, _ in self.hits(lo, hi, np.ones(len(t), np.int64)):
+            pos = ix.locate(rows)
+            doc = np.searchsorted(ix.starts, pos, side="right") - 1
+            pair = t[which] * len(self.lens) + doc
+            mine = np.isin(pair, pairs)
+            pair, left, right, rows, pos = pair[mine], i[which][mine], i[which][mine] + 2, rows[mine], pos[mine] + 2
+            text = pair // len(self.lens)
+            live = np.arange(len(pair))
+            while len(live := live[left[live] > 0]):
+                ok, new = ix.extend_rows(sym[starts[text[live]] + left[live] - 1], rows[live])
+                live = live[ok]
+                rows[live] = new
+                left[live] -= 1
+            live = np.arange(len(pair))
+            while len(live := live[right[live] < lens[text[live]]]):  # a sequence ends in a 0, which no word equals
+                live = live[sym[starts[text[live]] + right[live]] == self.text[pos[live]]]
+                right[live] += 1
+                pos[live] += 1
+            for p, a, z in zip(pair.tolist(), left.tolist(), right.tolist()):
+                if z - a >= MATCH_WORDS:
+                    out.setdefault(p, set()).add((a, z))
+        return out
 
 
 def merged(spans) -> list[tuple[int, int]]:

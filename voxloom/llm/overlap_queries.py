@@ -34,8 +34,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per split and book_title: evaluation clips, those found in training, exactly and almost, and their common spans.
 
-    spans and span_words sum, over the clips found, the merged maximal matches with the partner that
-    covers most of the clip.
+    spans and span_words sum, over the clips found, the merged maximal matches of three words or more with
+    the partner of which they cover most.
     """
     pairs, train, evals = _linked(spark, sf_dir)
     reach = train.groupBy("train_key").agg(F.count("*").alias("train_clips"))
