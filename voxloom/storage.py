@@ -27,12 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session has ended; the cluster's own cleaner takes over
             pass
 
@@ -50,7 +53,16 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/voxloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a frame from ``cut`` that nothing will read again, such as a past round's."""
+    path = df._cut_path
+    _delete(df.sparkSession, path)
+    _written.remove((df.sparkSession, path))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
