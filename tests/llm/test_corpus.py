@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -85,15 +86,27 @@ def test_components(spark, seed, hot):
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(1, 500), st.integers(1, 60), max_size=25))
 def test_differencing_places_all_and_balances(weights):
-    bins = splits.difference_bins(weights, 8)
-    placed = Counter()
-    for total, have in bins:
-        assert total == sum(w * c for w, c in have.items())
-        placed += have
-    assert placed == Counter(weights) and len(bins) == 8
+    spread = splits.Differencing(weights, 8)
+    each = spread.counts(np.arange(8), 8)
+    assert {w: int(c.sum()) for w, c in each.items()} == weights
+    assert spread.totals.tolist() == [sum(w * int(c[b]) for w, c in each.items()) for b in range(8)]
     if weights:
-        sizes = [t for t, _ in bins]
-        assert max(sizes) <= max(max(weights), sum(sizes) / 8 + max(weights))
+        assert spread.totals.max() <= max(max(weights), spread.totals.sum() / 8 + max(weights))
+
+
+def test_differencing_of_many_weights():
+    rng = random.Random(1)
+    weights = {w: rng.randrange(1, 300) for w in range(1, 4000)}
+    spread = splits.Differencing(weights, 100)
+    assert spread.totals.sum() == sum(w * c for w, c in weights.items()) and np.ptp(spread.totals) <= 20
+
+
+def test_bins_follow_the_targets():
+    assert splits.bins_for({"a": 0.9, "b": 0.1}) == 100 and splits.bins_for({"a": 0.999, "b": 0.001}) == 5000
+    spread = splits.Differencing({1: 60_000, 7: 300}, 5000)
+    names, bin_split = splits.fill_splits(spread.totals, {"a": 0.999, "b": 0.001, "c": 0})
+    reached = np.bincount(bin_split, spread.totals, minlength=3) / spread.totals.sum()
+    assert names == ["a", "b", "c"] and abs(reached[1] - 0.001) < 2e-4 and reached[2] == 0
 
 
 def test_assignment(spark):
@@ -113,9 +126,12 @@ def test_assignment(spark):
         for t in ts:
             by_token[t].add(got[i])
     assert all(len(v) == 1 for v in by_token.values())
-    _, roots = splits.related_groups(clips)
-    pairs = {tuple(r) for r in splits.speakers_together(roots).collect()}
-    assert all(a < b for a, b in pairs) and ("s1", "s2") in pairs or any(b == "s2" for _, b in pairs)
+    pairs = splits.speakers_together(clips, {"train": 0.8, "val": 0.1, "test": 0.1}).collect()
+    for r in pairs:
+        assert r["speaker_a"] < r["speaker_b"]
+        for name in (r["speaker_a"], r["speaker_b"]):
+            assert by_token.get(f"s:{name}") == {r["split"]}
+    assert any(r["speaker_b"] == "s2" or r["speaker_a"] == "s2" for r in pairs)
     assert splits.assign(clips.limit(0), {"train": 1.0}).count() == 0
 
 

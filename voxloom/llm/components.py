@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators.joins import attach_by_key
-from voxloom.storage import cut
+from voxloom.storage import cut, discard
 
 MAX_ROUNDS = 60
 
@@ -33,7 +33,10 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         )
     else:
         out = moved.where(F.col("other") > F.col("node")).select(F.col("other").alias("u"), F.col("m").alias("v"))
-    return out.where(F.col("u") != F.col("v")).distinct()
+    done = cut(out.where(F.col("u") != F.col("v")).distinct())
+    discard(least)
+    discard(edges)
+    return done
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -41,8 +44,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Links with a null end are ignored, loops make a component of one, repeats change nothing. The node
     type may be any ordered type. Each round is two grouped minima and two joins, with hubs (a value that
-    a third of all records share) handled as hot keys; every round is cut to a table in the shared
-    folder, and only two numbers reach the driver.
+    a third of all records share) handled as hot keys. It ends when every larger end has one link left
+    and no smaller end is itself a larger one: then all links point at roots. A round's tables are
+    written to the shared folder, deleted once the next is there, and only a number reaches the driver.
     """
     links = links.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     every = cut(links.select(F.col(a).alias("node")).unionByName(links.select(F.col(b).alias("node"))).distinct())
@@ -51,13 +55,12 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct()
     )
-    seen = None
     for _ in range(MAX_ROUNDS):
-        edges = cut(_star(cut(_star(edges, small=False)), small=True))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up")).distinct())
+        loose = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.count("*").alias("n")).where((F.col("ups") > 1) | (F.col("ups") == 1) & (F.col("n") > 1))
+        if loose.isEmpty():
             break
-        seen = now
+        edges = _star(_star(edges, small=False), small=True)
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -34,8 +34,8 @@ def _targets(spark: SparkSession, sf_dir: str) -> dict[str, float]:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speakers who must share a split."""
-    _, roots = splits.related_groups(splits.clips_with_tokens(read(spark, sf_dir, "train_manifest")))
-    return splits.speakers_together(roots)
+    clips = splits.clips_with_tokens(read(spark, sf_dir, "train_manifest"))
+    return splits.speakers_together(clips, _targets(spark, sf_dir)).select("speaker_a", "speaker_b")
 
 
 def p5_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
