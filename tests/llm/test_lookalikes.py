@@ -17,6 +17,7 @@ def model(spark):
     ("Ｋｅｓｔｒｉｏｎ１！", "Kestrion1!"), ("Café", "Café"), ("ერ​თი­ა﻿", "ერთია"), ("a b c　d\te", "a b c d e"),
     ("Kеstriоnის", "Kestrionის"), ("Бурлянeц", "Бурлянец"), ("Wеndarо", "Wendaro"), ("Κestriοn", "Kestrion"),
     ("Windowsში თავი Ⅱ", "Windowsში თავი II"), ("👩‍👧 ❤️", "👩‍👧 ❤️"), ("Zorандия", "Zorандия"),
+    ("Ꮶestrionის", "Kestrionის"), ("ꓗestrion", "Kestrion"), ("Kestriⲟn", "Kestrion"), ("Kestrioո", "Kestrion"), ("Ꮇilvento", "Milvento"),
 ])
 def test_forms(model, text, form):
     assert model.consistent(text) == form

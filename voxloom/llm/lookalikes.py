@@ -17,53 +17,59 @@ from voxloom.llm.text import digest
 from voxloom.operators.joins import attach_by_key
 from voxloom.storage import cut
 
-# Letters of Latin, Cyrillic, Greek and Armenian that look the same, one group a line.
+# Letters of Latin, Cyrillic, Greek, Armenian, Cherokee, Coptic and Lisu that look the same, one group a line.
 LOOK_ALIKE = """
-AАΑ
-BВΒ
-CСϹ
-EЕΕ
-HНΗ
-IІΙ
-JЈ
-KКΚ
-MМΜ
-NΝ
-OОΟՕ
-PРΡ
+AАΑᎪꓮ
+BВΒᏴꓐ
+CСϹᏟⲤꓚ
+DᎠꓓ
+EЕΕᎬꓰ
+FϜꓝ
+GԌᏀꓖ
+HНΗᎻⲎꓧ
+IІΙⲒꓲ
+JЈᎫꓙ
+KКΚᏦⲔꓗ
+LᏞꓡ
+MМΜᎷⲘꓟ
+NΝⲚꓠ
+OОΟՕⲞꓳ
+PРΡᏢⲢꓑ
 QԚ
-SЅՏ
-TТΤ
-VѴ
-WԜ
-XХΧ
-YУΥҮ
-ZΖ
-ГΓ
-ПΠ
-ФΦ
+RᎡꓣ
+SЅՏᏚꓢ
+TТΤᎢⲦꓔ
+UՍꓴ
+VѴᏙꓦ
+WԜᎳꓪ
+XХΧⲬꓫ
+YУΥҮⲨꓬ
+ZΖᏃꓜ
+ГΓᎱⲄ
+ПΠⲠ
+ФΦⲪ
 aаα
-cсϲ
+cсϲⲥ
 dԁ
 eе
 gց
 hһհ
 iіι
 jјϳյ
-kкκ
+kкκⲕ
 lӏ
 nո
-oоοօ
-pрρ
+oоοօⲟ
+pрρⲣ
 qԛզ
 sѕ
 uυս
 vνѵ
 wԝ
-xхχ
+xхχⲭ
 yуγү
 """.split()
-SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian")
+SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Coptic", "Lisu")
 KEPT = "…"  # a compatibility character that is ordinary punctuation here
 ORDER = 3  # characters of an n-gram
 CHANGE_COST = 1.0
@@ -71,14 +77,14 @@ SWITCH_COST = 14.0
 
 _TWINS = {c: [x for x in group if x != c] for group in LOOK_ALIKE for c in group}
 _SCRIPT = {s: regex.compile(rf"\p{{Script={s}}}") for s in SCRIPTS}
-_PLAIN = regex.compile(r"[^\n -~¡§«°»¿ა-ჰ–—‘-‟…]")
+PLAIN = r"[^\n -~¡§«°»¿ა-ჰ–—‘-‟…]"  # what a text must have to need any work
 _IGNORABLE = regex.compile(
     r"(?<=[\p{Extended_Pictographic}️‍\U0001F3FB-\U0001F3FF\U000E0020-\U000E007F])[‍️](?=[\p{Extended_Pictographic}])(*SKIP)(*FAIL)"
     r"|(?<=\p{Extended_Pictographic})️(*SKIP)(*FAIL)|\p{Default_Ignorable_Code_Point}"
 )
 _SPACE = regex.compile(r"[\p{Zs}\t]")
 _WORD = regex.compile(r"[\p{L}\p{M}]{2,}")
-_FOREIGN = r"[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}]"
+_FOREIGN = "[" + "".join(rf"\p{{Is{s}}}" for s in SCRIPTS) + "]"
 
 
 @lru_cache(maxsize=100_000)
@@ -184,8 +190,8 @@ class ScriptModel:
 
 def _parts(text: str | None) -> tuple[str | None, list[str]]:
     """The settled text and its words of two scripts."""
-    if text is None or not _PLAIN.search(text):
-        return text, []
+    if text is None:
+        return None, []
     form = settled(text)
     return form, mixed_words(form)
 
@@ -200,8 +206,8 @@ def train(values: DataFrame, text: str) -> ScriptModel:
     Words are counted by partial aggregation, then the trigrams of distinct words by count. All are kept,
     at every size; letters of other scripts may stand in such words, so their number has no small bound.
     """
-    every = F.regexp_extract_all(F.col(text), F.lit(rf"[\p{{L}}\p{{M}}]*{_FOREIGN}[\p{{L}}\p{{M}}]*"), F.lit(0))
-    counted = values.select(F.explode(every).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    every = F.filter(F.regexp_extract_all(F.col(text), F.lit(r"[\p{L}\p{M}]+"), F.lit(0)), lambda w: w.rlike(_FOREIGN))
+    counted = values.where(F.col(text).rlike(_FOREIGN)).select(F.explode(every).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     mixed = F.lit(0)
     for s in SCRIPTS:
         mixed = mixed + F.col("w").rlike(rf"\p{{Is{s}}}").cast("int")
@@ -214,7 +220,8 @@ def train(values: DataFrame, text: str) -> ScriptModel:
 def with_consistent(df: DataFrame, text: str, model: ScriptModel, out: str = "form") -> DataFrame:
     """Add ``out``, the consistent form of ``text``.
 
-    Texts without words of two scripts pass through without a shuffle. Of the others the distinct words
+    Texts in plain characters stay in the JVM, and those without words of two scripts pass without a
+    shuffle. Of the others the distinct words
     are read once each, and their readings come back by join, under a digest of the settled text.
     """
 
@@ -228,7 +235,8 @@ def with_consistent(df: DataFrame, text: str, model: ScriptModel, out: str = "fo
         return pd.Series([_replaced(f, dict(zip(w, r))) for f, w, r in zip(form, words, readings)], dtype=object)
 
     columns = [F.col(c) for c in df.columns]
-    rows = df.withColumn("_p", parts.asNondeterministic()(F.col(text)))  # else a filter on it evaluates it twice
+    plain = ~F.coalesce(F.col(text).rlike(PLAIN), F.lit(False))
+    rows = df.where(~plain).withColumn("_p", parts.asNondeterministic()(F.col(text)))  # else a filter on it evaluates it twice
     several = F.size("_p.words") > 0
     found = cut(rows.where(several).select(*columns, F.col("_p.form").alias("_form"), F.col("_p.words").alias("_words")).withColumn("_key", digest(F.col("_form"))))
     texts = cut(found.groupBy("_key").agg(F.first("_words").alias("_words"), F.count("*").alias("_copies")))
@@ -237,7 +245,8 @@ def with_consistent(df: DataFrame, text: str, model: ScriptModel, out: str = "fo
     read = attach_by_key(pairs, readings, "word", "copies")
     table = cut(read.groupBy("_key").agg(F.max("_copies").alias("_copies"), F.collect_list(F.struct("word", "reading")).alias("_r")))
     done = attach_by_key(found, table, "_key", "_copies").withColumn(out, replace("_form", "_r.word", "_r.reading"))
-    return rows.where(~several).select(*columns, F.col("_p.form").alias(out)).unionByName(done.select(*columns, out))
+    passed = df.where(plain).select(*columns, F.col(text).alias(out))
+    return passed.unionByName(rows.where(~several).select(*columns, F.col("_p.form").alias(out))).unionByName(done.select(*columns, out))
 
 
 def fields(df: DataFrame, tbl: str, key: str, *names: str) -> DataFrame:

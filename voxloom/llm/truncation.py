@@ -29,11 +29,12 @@ BACKOFF = 2.0
 NEAR, WORD_CHARS, WORD_BYTES = 30, 25, 60
 STEP, CLIP = 0.5, 9.0
 ROUNDS = 25
-MARKS = ".!?…,;:-–—„“”\"'«»()[]/*_%&+=#�🙂🎧"
+MARKS = ".!?…,;:-–—„“”\"'«»()[]/*_%&+=#�"
+TRACES = "�e"  # a split character, an unfinished reference or escape: left by the cut itself
 
 CLOSING, AFTER_CLOSING = ".!?…", "”“\"'»)"
 
-_UNIT = regex.compile(r"(?P<q>&[a-zA-Z]+;)|(?P<e>(?:&[a-zA-Z]{0,6}|\\(?:u[0-9a-fA-F]{0,3})?|%[0-9A-F]?)$)|(?P<t>\s+$)|(?P<a>[\p{L}\p{M}]+)|(?P<d>\p{N}+)|(?P<p>\n\s*\n\s*)|(?P<n>\n\s*)|(?P<s>\s+)|(?P<o>.)")
+_UNIT = regex.compile(r"(?P<q>&[a-zA-Z]+;)|(?P<e>(?:&[a-zA-Z]{0,6}|\\(?:u[0-9a-fA-F]{0,3})?|%[0-9A-F]?)$)|(?P<t>\s+$)|(?P<a>[\p{L}\p{M}]+)|(?P<d>\p{N}+)|(?P<p>\n\s*\n\s*)|(?P<n>\n\s*)|(?P<s>\s+)|(?P<g>\p{Extended_Pictographic}[\p{M}\p{Cf}\p{Sk}]*)|(?P<o>.)")
 _RUN = regex.compile(r"(\p{N}\s)?([\p{L}\p{M}]+)(?=\s*$)")
 
 
@@ -43,7 +44,7 @@ def complete(last: str) -> bool:
 
 
 def symbols(tail: str) -> list[str]:
-    """The tail in symbols: a letters, 0 digits, ¶ blank line, ⏎ line end, marks as themselves, x others.
+    """The tail in symbols: a letters, 0 digits, ¶ blank line, ⏎ line end, ☺ pictographs, marks as themselves, x others.
 
     A complete character reference counts as a quote, e is an unfinished one, ␠ is trailing white space.
     """
@@ -51,10 +52,16 @@ def symbols(tail: str) -> list[str]:
     for m in _UNIT.finditer(tail):
         k = m.lastgroup
         if k != "s":
-            out.append({"a": "a", "d": "0", "p": "¶", "n": "⏎", "q": '"', "e": "e", "t": "␠"}.get(k) or (m.group() if m.group() in MARKS else "x"))
+            out.append({"a": "a", "d": "0", "p": "¶", "n": "⏎", "q": '"', "e": "e", "t": "␠", "g": "☺"}.get(k) or (m.group() if m.group() in MARKS else "x"))
     return out
 
 
+def last_symbols(tail: str) -> str:
+    """The last three symbols of a tail; only its end is read where that settles them."""
+    end = symbols(tail[-40:])
+    return "".join((end if len(end) >= 6 else symbols(tail))[-3:])
+
+
 def script_of(tail: str) -> str:
     """Script of the last letters of a text; its lang column may be missing or wrong."""
     last = next((c for c in reversed(tail) if c.isalpha()), "")
@@ -235,7 +242,7 @@ def described(rows: DataFrame, grams: DataFrame) -> DataFrame:
             for t in p:
                 run = _RUN.search(t)
                 word = ("0" if run[1] else "^") + run[2].lower() if run else None
-                out.append((script_of(t), "".join(symbols(t)[-3:]), word and word[-ORDER:]))
+                out.append((script_of(t), last_symbols(t), word and word[-ORDER:]))
             yield pd.DataFrame(out, columns=["script", "last", "run"])
 
     seen = cut(rows.withColumn("d", describe("tail")).select("id", "source", "kind", "place", "d.script", "d.last", "d.run"))
@@ -244,14 +251,34 @@ def described(rows: DataFrame, grams: DataFrame) -> DataFrame:
     return known.unionByName(seen.where(F.col("run").isNull()).drop("run").withColumn("odds", F.lit(0.0)))
 
 
+def inner_shares(rows: DataFrame) -> dict[str, float]:
+    """Share of each symbol among the characters of all tails: what a cut at any place leaves last.
+
+    ``TRACES`` stand apart: a text that goes on doesn't show them, so they share a hundredth each.
+    """
+    def sign(pattern):
+        return F.sum(F.regexp_count("tail", F.lit(pattern)))
+
+    each = {"a": sign(r"[\p{L}\p{M}]"), "0": sign(r"\p{N}"), "␠": sign(r"[^\S\n]"), "⏎": sign(r"\n"), "☺": sign(r"\p{So}")}
+    each |= {m: F.sum(F.length("tail") - F.length(F.replace(F.col("tail"), F.lit(m), F.lit("")))) for m in MARKS if m not in TRACES}
+    got = rows.agg(*[c.alias(f"c{i}") for i, c in enumerate(each.values())]).first()
+    total = sum(n or 0 for n in got) or 1
+    return {k: (n or 0) / total for k, n in zip(each, got)} | {t: 0.01 for t in TRACES}
+
+
 class Fit:
-    """The end-or-cut model of final contexts, fitted to counts of (kind, script, last, place, odds)."""
+    """The end-or-cut model of final contexts, fitted to counts of (kind, script, last, place, odds).
+
+    It starts from the whole: what a cut leaves last are the symbols as they stand inside texts
+    (``inside``), what an end shows is any symbol but a trace of a cut. START, the rates of cuts assumed
+    first, weighs as much as two texts.
+    """
 
     START = {"at": 0.9, "below": 0.3, "free": 0.02}
-    USUAL = {"a": 0.85, "0": 0.02, ",": 0.03, "�": 0.03, "␠": 0.05, "e": 0.01}
-    NEVER = "�e␠"  # symbols that a complete text doesn't end in, until the counts say otherwise
+    NEVER = TRACES + "␠"
 
-    def __init__(self, counts: list[tuple]):
+    def __init__(self, counts: list[tuple], inside: dict[str, float]):
+        self.inside = inside
         self.rate: dict = {}
         self.end: dict = {}
         self.cut: dict = {}
@@ -278,7 +305,7 @@ class Fit:
             now, ctx = last[-k:], last[-1:] if k == 3 else ""
             p = 1.0 / 30
             if k == 1:
-                p = self.USUAL.get(now, 0.005) if is_cut else (1e-6 if now in self.NEVER else 0.02)
+                p = max(self.inside.get(now, 0.0), 1e-3) if is_cut else (1e-6 if now in self.NEVER else 0.02)
             for level, weight in zip(("*", *(group[:n] for n in range(1, len(group) + 1))), (5, 3, 3)):
                 own = table.get((level, k, ctx), {})
                 p = (own.get(now, 0.0) + weight * p) / (own.get("", 0.0) + weight)
@@ -315,7 +342,7 @@ def truncated(docs: DataFrame, doc_id: str, text: str, source: str, kind: str) -
     seen = cut(described(placed(rows, limits(rows)), word_grams(docs, text)))
     keys = ["kind", "script", "last", "place", "odds"]
     counts = [tuple(r) for r in seen.groupBy(*keys).count().toLocalIterator()]
-    fit = Fit(counts)
+    fit = Fit(counts, inner_shares(rows))
     table = [(*c[:5], float(fit.chance(*c[:5]))) for c in counts]
     schema = "kind string, script string, last string, place string, odds double, log_odds double"
     odds = docs.sparkSession.createDataFrame(table, schema)
