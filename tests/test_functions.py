@@ -19,6 +19,8 @@ TEXTS = [
     "", " ", "გამარჯობა, მსოფლიო!", "## თავი 1\nტექსტი — აქ", "a  b\t c d e", "ааааа", "aaaa", "aaaaa", "da da da", "da da da da", "x_y z-1 ½ ²",
     "\x1c sep \x1f", "Mixed ქართული text", "12345", "🎧🎧🎧🎧🎧", "ერთი. ორი…", "né é é", "one\ntwo\n\n\n\n\nthree",
 ]
+from voxloom.operators.aggs import metric_summary
+from voxloom.operators.quantiles import UPPER, quantiles
 
 
 def column(spark, values, *cols, schema="a string"):
@@ -57,7 +59,7 @@ def test_ids_and_paths(spark):
     paths = ["x/y/Title_Part_Voice.wav", "one_two.wav", "noext", "a.b/c.d.e"]
     assert column(spark, paths, T.stem(a), T.narrator(a)) == [("Title_Part_Voice", "Voice"), ("one_two", "unknown"), ("noext", "unknown"), ("c.d", "unknown")]
     assert column(spark, [" A--b!! "], T.safe_id(a), T.safe_id(a, 4, squeeze=False)) == [("A_b", "_A__")]
-    assert column(spark, ["abcdefghij", "abc"], T.char_ngrams(a, 4)) == [(["abcd", "cdef", "efgh", "ghij"],), ([],)]
+    assert column(spark, ["abcdefghij", "abc"], T.char_ngrams(a, 4)) == [(["abcd", "cdef", "efgh", "ghij"],), (["abc"],)]
 
 
 def levenshtein(a, b):
@@ -98,11 +100,25 @@ def test_vectors_and_summaries(spark):
     for values in ([3.0, 1.0, 2.0, 2.5], [5.0], [1.0, None, 9.0, 4.0]):
         x = sorted(y for y in values if y is not None)
         df = spark.createDataFrame([(y,) for y in values], "x double")
-        r = df.agg(M.upper_median("x").alias("up"), *M.summary(F.col("x"))).first()
-        assert r["up"] == x[len(x) // 2]
+        r = metric_summary(df, "x").first()
+        assert quantiles(df, "x", {"up": UPPER}).first()[0] == x[len(x) // 2]
         assert [r[k] for k in ("mean", "median", "std", "p90", "min", "max", "n")] == pytest.approx([np.mean(x), np.median(x), np.std(x), np.percentile(x, 90), x[0], x[-1], len(x)])
 
 
 def test_compression_ratio(spark):
     got = [r[0] for r in column(spark, TEXTS, compression_ratio("a"))]
     assert got == [len(t.encode()) / len(zlib.compress(t.encode())) if t else 0.0 for t in TEXTS]
+
+
+def test_quantiles_by_key(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, float(v)) for k, n in (("a", 500), ("b", 7), (None, 30)) for v in rng.integers(0, 40, n)] + [("a", 3.0)] * 400 + [("c", None), ("a", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    got = {r["k"]: r for r in quantiles(df, "x", {"q": 0.25, "p": 0.9, "up": UPPER}, "k").collect()}
+    assert set(got) == {"a", "b", None}
+    for k, r in got.items():
+        x = sorted(v for j, v in rows if j == k and v is not None)
+        assert (r["q"], r["p"], r["up"]) == pytest.approx((np.percentile(x, 25), np.percentile(x, 90), x[len(x) // 2]))
+    assert quantiles(df.limit(0), "x", {"q": 0.5}).collect()[0]["q"] is None and quantiles(df.limit(0), "x", {"q": 0.5}, "k").count() == 0
+    summary = {r["k"]: r for r in metric_summary(df, "x", "k").collect()}
+    assert summary["c"]["n"] == 0 and summary["c"]["median"] is None and summary[None]["n"] == 30

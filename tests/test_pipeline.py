@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from voxloom import schemas
 from voxloom.config import QualityConfig
-from voxloom.plans import runner
-from voxloom.scorers import EchoTranscriber, score
+from voxloom.plans import recordings, runner
+from voxloom.scorers import EchoTranscriber, EvenIntervals, FixedScorer, attach, score
 from voxloom.sources import readers, sinks
 from voxloom.streaming import ingest
 
@@ -77,10 +77,12 @@ def test_runner_keeps_drops_and_resumes(spark, tmp_path):
     assert counts["standardize"] == (9, 4) and counts["nisqa"] == (8, 1)
     before = 13
     for i, n in enumerate(names, 1):
-        k, d = (spark.read.parquet(f"{out}/stage={i}_{n}/verdict={v}") for v in ("kept", "dropped"))
+        k, d = (runner.stage_rows(spark, f"{out}/stage={i}_{n}").where(F.col("verdict") == v) for v in ("kept", "dropped"))
         assert k.count() + d.count() == before and d.where("reason IS NULL").count() == 0 and k.join(d, "id").count() == 0
         before = k.count()
     assert spark.read.parquet(f"{out}/stage=2_nisqa/side=nisqa_scores").count() == 9
+    stats = runner.stage_statistics(spark, out, names, {"nisqa": "nisqa_mos", "duration_outlier": "char_duration"}).collect()
+    assert [(r["stage"], r["n"]) for r in stats] == [("nisqa", 8), ("duration_outlier", 8)] and stats[0]["median"] == 3.0
     mark = next((tmp_path / "run" / "stage=1_standardize").glob("done-*")).stat().st_mtime_ns
     again = runner.run_quality(scored, out, names, cfg)
     assert again.count() == kept.count() and next((tmp_path / "run" / "stage=1_standardize").glob("done-*")).stat().st_mtime_ns == mark
@@ -106,6 +108,42 @@ def test_scorer_isolates_errors(spark):
     assert sorted(r["asr_text"] for r in score(df, EchoTranscriber, EchoTranscriber.schema).collect()) == ["", "a b c d e f h"]
 
 
+def test_contracts(spark):
+    df = spark.createDataFrame([("a", 20.0), ("b", 3.0), ("c", None)], "recording_id string, duration double")
+    got = attach(df, "speech_intervals", EvenIntervals).orderBy("recording_id", "ordinal").collect()
+    assert [(r["recording_id"], r["start_sec"], r["end_sec"]) for r in got if r["error"] is None] == [("a", 0.0, 8.0), ("a", 8.5, 16.5), ("a", 17.0, 20.0), ("b", 0.0, 3.0)]
+    assert sum(r["error"] is not None for r in got) == 1
+    assert attach(df, "speech_quality", lambda: FixedScorer(nisqa_mos=3.5, nisqa_noisiness=1.0, nisqa_discontinuity=1.0, nisqa_coloration=1.0, nisqa_loudness=1.0)).where("nisqa_mos = 3.5").count() == 3
+    assert attach(df, "spectral_distance", lambda: FixedScorer(wrong=1.0)).where("mcd IS NULL AND error IS NOT NULL").count() == 3
+
+
+def test_recordings_resume(spark, tmp_path):
+    words = "ერთი დიდი სახლი იდგა მთის ძირას და იქ ცხოვრობდა მოხუცი კაცი".split()
+    intervals = spark.createDataFrame([(r, 10.0 * i + 5, 10.0 * i + 12) for r in ("a", "b") for i in range(4)] + [("a", 0.0, 0.4), ("a", 60.0, 67.0)], "recording_id string, start_sec double, end_sec double")
+    chunks = recordings.recogniser_chunks(intervals)
+    ids = [r["chunk_id"] for r in chunks.orderBy("chunk_id").collect()]
+    assert ids == [f"a__chunk_0000{i}" for i in range(1, 6)] + [f"b__chunk_0000{i}" for i in range(4)]
+    texts = spark.createDataFrame([(i, " ".join(words[:9])) for i in ids[:-1]], "chunk_id string, text string")
+    books = spark.createDataFrame([("a", (" ".join(words) + ". ") * 6)], "recording_id string, text string")
+    calls = []
+
+    def judge(pending):
+        calls.append(sorted(r[0] for r in pending.collect()))
+        return recordings.first_generation(intervals.join(pending, "recording_id"), texts, books)
+
+    out = str(tmp_path / "run")
+    recordings.run_recordings(intervals.where("recording_id = 'a'"), judge, out)
+    rows = recordings.run_recordings(intervals, judge, out)
+    assert recordings.run_recordings(intervals, judge, out).count() == rows.count() == 9 and calls == [["a"], ["b"]]
+    reasons = {r["chunk_id"]: r["reason"] for r in rows.collect()}
+    assert reasons["b__chunk_00003"] == "empty_text" and reasons["b__chunk_00000"] == "ok"
+    summary = json.loads(spark.read.text(f"{out}/summary").first()[0])
+    assert summary["recordings"] == 2 and summary["clips"] == 9 and summary["kept"] == sum(r == "ok" for r in reasons.values())
+    manifest = recordings.clip_manifest(rows, "chunk_id", F.lit("n"), "w/", measures=True)
+    assert manifest.count() == summary["kept"] and manifest.where("audio_filepath = concat('w/', id, '.wav')").count() == summary["kept"]
+    assert {r["recording_id"]: r["total"] for r in recordings.recording_yield(rows).collect()} == {"a": 5, "b": 4}
+
+
 def test_streaming_ingest(spark, tmp_path):
     src, target, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     src.mkdir()

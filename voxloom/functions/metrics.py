@@ -102,14 +102,6 @@ def crossfade(a: Column, b: Column, n: int) -> Column:
     return F.when((F.size(a) >= n) & (F.size(b) >= n), F.concat(body, mixed, rest)).otherwise(F.concat(a, b))
 
 
-def upper_median(name: str) -> Column:
-    """Aggregate: the middle value of column ``name``, the upper of two; nulls left out, null for no value."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {name} DESC)")
-
-
-def summary(x: Column) -> list[Column]:
-    """mean, median (interpolated), population deviation, p90, min, max, n of a metric."""
-    return [
-        F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"), F.stddev_pop(x).alias("std"),
-        F.percentile(x, F.lit(0.9)).alias("p90"), F.min(x).alias("min"), F.max(x).alias("max"), F.count(x).alias("n"),
-    ]
+def moments(x: Column) -> list[Column]:
+    """mean, population deviation, min, max, n of a metric."""
+    return [F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.count(x).alias("n")]

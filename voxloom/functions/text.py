@@ -99,10 +99,10 @@ def narrator(path: Column) -> Column:
 
 
 def char_ngrams(c: Column, n: int = 8) -> Column:
-    """Character n-grams at a stride of half their length; none for shorter texts."""
+    """Character n-grams at a stride of half their length; a shorter text is its only one, '' has none."""
     last = F.length(c) - n + 1
     grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(max(n // 2, 1))), lambda i: F.substring(c, i, F.lit(n)))
-    return F.when(last >= 1, grams).otherwise(F.array().cast("array<string>"))
+    return F.when(last >= 1, grams).otherwise(F.when(F.length(c) > 0, F.array(c)).otherwise(F.array().cast("array<string>")))
 
 
 def absolute(path: Column, base: str) -> Column:

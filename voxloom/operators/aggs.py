@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.functions.metrics import summary, upper_median
+from voxloom.functions.metrics import moments
+from voxloom.operators.quantiles import UPPER, quantiles, with_quantiles
 
 # Histogram brackets.
 CER_EDGES = ((0.0, 0.05), (0.05, 0.10), (0.10, 0.20), (0.20, 0.50), (0.50, 1.01))
@@ -36,31 +37,34 @@ def histogram(df: DataFrame, value: str, edges: tuple[tuple[float, float], ...]
 
 def metric_summary(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """mean, median, population deviation, p90, min, max, n per key or overall."""
-    g = df.groupBy(*keys) if keys else df
-    return g.agg(*summary(F.col(value)))
+    out = with_quantiles(df.groupBy(*keys).agg(*moments(F.col(value))), df, value, {"median": 0.5, "p90": 0.9}, *keys)
+    return out.select(*keys, "mean", "median", "std", "p90", "min", "max", "n")
 
 
 def mean_and_middle(df: DataFrame, *values: str) -> DataFrame:
     """One row: mean_x and median_x (the upper of two) of each value, 0.0 without rows."""
-    out: list[Column] = []
+    out = df.agg(*[F.coalesce(F.avg(v), F.lit(0.0)).alias(f"mean_{v}") for v in values])
     for v in values:
-        out += [F.coalesce(F.avg(v), F.lit(0.0)).alias(f"mean_{v}"), F.coalesce(upper_median(v), F.lit(0.0)).alias(f"median_{v}")]
-    return df.agg(*out)
+        q = quantiles(df, v, {f"median_{v}": UPPER}).select(F.coalesce(f"median_{v}", F.lit(0.0)).alias(f"median_{v}"))
+        out = out.crossJoin(F.broadcast(q))
+    return out.select(*[f"{x}_{v}" for v in values for x in ("mean", "median")])
 
 
 def yield_report(df: DataFrame, key: str, kept: Column, seconds: str) -> DataFrame:
     """Per key: rows, kept, pass_rate, kept and total seconds, yield_pct, spread of kept durations; 0 where empty."""
     s, k = F.col(seconds), F.when(kept, F.col(seconds))
     zero = F.lit(0.0)
-    return df.groupBy(key).agg(
+    per = df.groupBy(key).agg(
         F.count("*").alias("total"),
         F.count(F.when(kept, 1)).alias("kept"),
         F.coalesce(F.try_divide(F.count(F.when(kept, 1)), F.count("*")), zero).alias("pass_rate"),
         F.coalesce(F.round(F.sum(k), 4), zero).alias("kept_seconds"),
         F.coalesce(F.round(F.try_divide(F.sum(k) * 100, F.sum(s)), 6), zero).alias("yield_pct"),
         F.coalesce(F.min(k), zero).alias("min_seconds"), F.coalesce(F.max(k), zero).alias("max_seconds"),
-        F.coalesce(F.round(F.avg(k), 6), zero).alias("mean_seconds"), F.coalesce(F.percentile(k, F.lit(0.5)), zero).alias("median_seconds"),
+        F.coalesce(F.round(F.avg(k), 6), zero).alias("mean_seconds"),
     )
+    out = with_quantiles(per, df.where(kept), seconds, {"median_seconds": 0.5}, key)
+    return out.withColumn("median_seconds", F.coalesce("median_seconds", zero))
 
 
 def pooled_rate(df: DataFrame, edits: str, size: str) -> DataFrame:

@@ -9,6 +9,7 @@ from voxloom.config import CHUNK, FILTER, PREP, QUALITY, QualityConfig
 from voxloom.functions.compress import compression_ratio
 from voxloom.functions.metrics import cer_verify
 from voxloom.functions.text import repeated_chars, repeated_words, script_ratio, segment_number, stripped
+from voxloom.operators.quantiles import quantiles
 
 KEPT = "ok"
 
@@ -46,7 +47,7 @@ def duration_or_frames(seconds: Column, frames: Column, rate: Column) -> Column:
 
 def iqr_bounds(df: DataFrame, value: str, factor: float = QUALITY.iqr_factor) -> DataFrame:
     """One row (lo, hi): linear-interpolated quartiles widened by ``factor`` times their distance."""
-    q = df.agg(F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"))
+    q = quantiles(df, value, {"q1": 0.25, "q3": 0.75})
     spread = (F.col("q3") - F.col("q1")) * factor
     return q.select((F.col("q1") - spread).alias("lo"), (F.col("q3") + spread).alias("hi"))
 

@@ -47,7 +47,7 @@ def context_pairs(df: DataFrame, clip_id: str, speaker: str, seed: int = 42) ->
     rows = number_within_key(df.select(clip_id, speaker).withColumn("_h", seeded(F.col(clip_id), seed)), [speaker], ["_h", clip_id], "_r")
     n = df.groupBy(speaker).agg(F.count("*").alias("_n")).where("_n > 1")
     mine = rows.join(n, speaker)
-    step = F.lit(1) + F.pmod(F.xxhash64(clip_id, F.lit(seed + 1)), F.col("_n") - 1)
+    step = F.lit(1) + F.pmod(seeded(F.col(clip_id), seed + 1), F.col("_n") - 1)
     mine = mine.withColumn("_o", F.pmod(F.col("_r") + step, F.col("_n")))
     other = rows.select(speaker, F.col("_r").alias("_o"), F.col(clip_id).alias("context_id"))
     return mine.join(other, [speaker, "_o"]).select(clip_id, speaker, "context_id")

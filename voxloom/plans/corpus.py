@@ -78,12 +78,23 @@ def best_run(scored: DataFrame, run: str, speaker: str, metric: str) -> DataFram
     return per.orderBy("speaker_mean", speaker).limit(1).select(run, "run_mean", speaker, "speaker_mean")
 
 
-def run_evaluation(samples: DataFrame, metrics: dict[str, str]) -> dict[str, DataFrame]:
-    """Summaries by metric name; a metric whose column is missing gives a one-row error table instead."""
-    out = {}
+def run_evaluation(samples: DataFrame, metrics: dict[str, str], output: str | None = None) -> DataFrame:
+    """(metric, mean, median, std, p90, min, max, n, error), one row per metric of ``metrics`` (name to column).
+
+    A metric whose column is missing has its error and nulls. With ``output`` the samples and the summary
+    are written there, the summary also as one JSON line per metric.
+    """
+    out = None
     for name, column in metrics.items():
         if column in samples.columns:
-            out[name] = aggs.metric_summary(samples, column)
+            part = aggs.metric_summary(samples, column).withColumn("error", F.lit(None).cast("string"))
         else:
-            out[name] = samples.sparkSession.createDataFrame([(f"no column {column}",)], "error string")
+            fields = [F.lit(None).cast("double").alias(c) for c in ("mean", "median", "std", "p90", "min", "max")]
+            part = samples.sparkSession.range(1).select(*fields, F.lit(0).cast("long").alias("n"), F.lit(f"no column {column}").alias("error"))
+        part = part.select(F.lit(name).alias("metric"), *part.columns)
+        out = part if out is None else out.unionByName(part)
+    if output:
+        samples.write.mode("overwrite").parquet(f"{output}/samples")
+        out.write.mode("overwrite").parquet(f"{output}/summary")
+        out.coalesce(1).write.mode("overwrite").json(f"{output}/summary_json")
     return out

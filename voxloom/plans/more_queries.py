@@ -87,7 +87,7 @@ def agg12_overall(spark: SparkSession, d: str) -> DataFrame:
 SELECT count(*) AS recordings, sum(total)::BIGINT AS total, sum(kept)::BIGINT AS kept FROM b WHERE kept > 0""")
 def agg16_roll_up(spark: SparkSession, d: str) -> DataFrame:
     kept = filters.segment_reason(F.col("asr_text"), F.col("duration_sec")) == filters.KEPT
-    per = aggs.yield_report(segments(spark, d), "recording_id", kept, "duration_sec").where("kept > 0")
+    per = aggs.yield_report(segments(spark, d, "segment_id", "recording_id", "asr_text", "duration_sec"), "recording_id", kept, "duration_sec").where("kept > 0")
     return per.agg(F.count("*").alias("recordings"), F.sum("total").alias("total"), F.sum("kept").alias("kept"))
 
 

@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from voxloom.config import QUALITY, QualityConfig
 from voxloom.operators import filters
+from voxloom.operators.aggs import metric_summary
 
 
 @dataclass
 class StageResult:
-    """Rows that stay, rows that go with their reason, and tables to write beside them."""
+    """All rows with their reason, KEPT for those that stay, and tables to write beside them."""
 
-    kept: DataFrame
-    dropped: DataFrame
+    judged: DataFrame
     side: dict[str, DataFrame] = field(default_factory=dict)
 
 
@@ -38,9 +38,8 @@ def stage(name: str):
 
 
 def by_reason(df: DataFrame) -> StageResult:
-    """Split on a reason column, null counting as dropped."""
-    ok = F.coalesce(F.col("reason") == filters.KEPT, F.lit(False))
-    return StageResult(df.where(ok).drop("reason"), df.where(~ok).withColumn("reason", F.coalesce("reason", F.lit("unknown"))))
+    """A null reason counts as dropped."""
+    return StageResult(df.withColumn("reason", F.coalesce("reason", F.lit("unknown"))))
 
 
 @stage("standardize")
@@ -99,13 +98,12 @@ def speaker_select(df: DataFrame, c: QualityConfig) -> StageResult:
     """Speakers of enough volume, at most ``max_speakers``; if any row lacks a speaker, cluster_id decides."""
     nameless = df.where(F.col("speaker_id").isNull() | F.col("speaker_id").isin("", "unknown")).limit(1).count()
     if nameless and "cluster_id" in df.columns:
-        kept = filters.cluster_sizes(df, "cluster_id", c.min_cluster)
-        dropped = df.join(kept.select("cluster_id").distinct(), "cluster_id", "left_anti")
+        key, good = "cluster_id", filters.cluster_sizes(df, "cluster_id", c.min_cluster)
     else:
         named = df.where(F.col("speaker_id").isNotNull())
-        kept = filters.enough_volume(named, "speaker_id", F.col("duration"), c.min_speaker_seconds, c.max_speakers)
-        dropped = df.join(kept.select("speaker_id").distinct(), "speaker_id", "left_anti")
-    return StageResult(kept, dropped.withColumn("reason", F.lit("speaker_volume")))
+        key, good = "speaker_id", filters.enough_volume(named, "speaker_id", F.col("duration"), c.min_speaker_seconds, c.max_speakers)
+    good = good.groupBy(key).agg(F.first(F.lit(filters.KEPT)).alias("reason"))
+    return StageResult(df.join(good, key, "left").withColumn("reason", F.coalesce("reason", F.lit("speaker_volume"))))
 
 
 def _fs(spark: SparkSession, path: str):
@@ -118,8 +116,8 @@ def run_quality(
 ) -> DataFrame:
     """Run stages in order and return the rows kept by all.
 
-    Every stage writes parquet under ``output/stage=<i>_<name>/verdict=kept|dropped`` (and side tables)
-    and, last, a marker. A stage is skipped on resume only if its own name, the stages before it and the
+    Every stage is computed once and writes parquet under ``output/stage=<i>_<name>/rows/verdict=kept|dropped``
+    (and side tables) and, last, a marker. A stage is skipped on resume only if its own name, the stages before it and the
     configuration all match, so a changed list never resumes wrongly. Empty input passes through.
     """
     spark = clips.sparkSession
@@ -134,21 +132,39 @@ def run_quality(
         if not (resume and fs.exists(done)):
             fs.delete(_fs(spark, base)[1], True)
             result = STAGES[name](now, config)
-            for verdict, df in (("verdict=kept", result.kept), ("verdict=dropped", result.dropped), *((f"side={k}", v) for k, v in result.side.items())):
-                df.write.mode("overwrite").parquet(f"{base}/{verdict}")
+            verdict = F.when(F.col("reason") == filters.KEPT, "kept").otherwise("dropped")
+            result.judged.withColumn("verdict", verdict).write.mode("overwrite").partitionBy("verdict").parquet(f"{base}/rows")
+            spark.createDataFrame([], result.judged.schema).write.mode("overwrite").parquet(f"{base}/schema")
+            for k, v in result.side.items():
+                v.write.mode("overwrite").parquet(f"{base}/side={k}")
             fs.create(done).close()
-        now = spark.read.parquet(f"{base}/verdict=kept")
+        now = stage_rows(spark, base).where("verdict = 'kept'").drop("verdict", "reason")
     return now
 
 
+def stage_rows(spark: SparkSession, base: str) -> DataFrame:
+    """All rows of a finished stage with reason and verdict, also if a verdict has none."""
+    schema = spark.read.parquet(f"{base}/schema").schema
+    return spark.read.schema(schema.add("verdict", "string")).parquet(f"{base}/rows")
+
+
+def stage_statistics(spark: SparkSession, output: str, names: tuple[str, ...], values: dict[str, str]) -> DataFrame:
+    """(stage, value, mean, median, std, p90, min, max, n) of a stage's column over all rows it judged; ``values`` maps stages to columns."""
+    out = None
+    for i, name in enumerate(names, 1):
+        if name in values:
+            part = metric_summary(stage_rows(spark, f"{output}/stage={i}_{name}"), values[name])
+            part = part.select(F.lit(name).alias("stage"), F.lit(values[name]).alias("value"), *part.columns)
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def stage_counts(spark: SparkSession, output: str, names: tuple[str, ...]) -> DataFrame:
     """(stage, kept, dropped, kept_pct) of a finished run."""
     rows = None
     for i, name in enumerate(names, 1):
-        part = None
-        for verdict in ("kept", "dropped"):
-            n = spark.read.parquet(f"{output}/stage={i}_{name}/verdict={verdict}").agg(F.count("*").alias(verdict))
-            part = n if part is None else part.crossJoin(n)
+        each = [F.count(F.when(F.col("verdict") == v, 1)).alias(v) for v in ("kept", "dropped")]
+        part = stage_rows(spark, f"{output}/stage={i}_{name}").agg(*each)
         part = part.select(F.lit(i).alias("stage_no"), F.lit(name).alias("stage"), "kept", "dropped")
         rows = part if rows is None else rows.unionByName(part)
     share = F.coalesce(F.try_divide(F.col("kept") * 100.0, F.col("kept") + F.col("dropped")), F.lit(0.0))

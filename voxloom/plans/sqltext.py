@@ -16,6 +16,10 @@ SEGMENTS = (
 CHUNKS = "chunks AS (SELECT DISTINCT * FROM aligned_chunk)"
 
 
+def drawn(c: str, seed: int) -> str:
+    return f"CAST('0x' || substr(md5({c} || ':{seed}'), 1, 15) AS BIGINT)"
+
+
 def stripped(c: str) -> str:
     return f"regexp_replace({c}, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.config import CHUNK
@@ -10,12 +10,11 @@ from voxloom.functions import metrics as M
 from voxloom.functions import text as T
 from voxloom.functions.hashing import hash_split
 from voxloom.operators import aggs, align, filters, folds, joins, splits, windows
-from voxloom.operators.chunking import number_within_key
-from voxloom.plans import corpus, runner
+from voxloom.plans import corpus, recordings, runner
 from voxloom.plans import sqltext as Q
 from voxloom.plans.base import chunks, clips, evals, segments
 from voxloom.scorers import EchoTranscriber, score
-from voxloom.storage import read, shared_dir
+from voxloom.storage import read, scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -39,7 +38,7 @@ def query(sql: str | None = None):
 WHEN duration > 30.0::DOUBLE THEN 'dropped_long' ELSE 'ok' END AS reason, count(*) AS n FROM clips GROUP BY 1""")
 def flt1_standardize(spark: SparkSession, d: str) -> DataFrame:
     r = filters.standard_reason(F.col("duration")).alias("reason")
-    return clips(spark, d).groupBy(r).agg(F.count("*").alias("n"))
+    return clips(spark, d, "id", "duration").groupBy(r).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {Q.SEGMENTS} SELECT segment_id FROM segs WHERE cer IS NOT NULL AND NOT isnan(cer) AND cer >= 0.02::DOUBLE""")
@@ -82,7 +81,7 @@ WHEN {_PACE} < 3.0::DOUBLE THEN 'low_cps' WHEN {_PACE} > 25.0::DOUBLE THEN 'high
 
 @query(f"WITH {Q.SEGMENTS} SELECT segment_id, {_V2} AS reason FROM segs")
 def flt7_segment_cascade(spark: SparkSession, d: str) -> DataFrame:
-    s = segments(spark, d)
+    s = segments(spark, d, "segment_id", "asr_text", "duration_sec")
     return s.select("segment_id", filters.segment_reason(F.col("asr_text"), F.col("duration_sec")).alias("reason"))
 
 
@@ -96,7 +95,7 @@ r AS (SELECT n.*, CASE WHEN s < 1.5::DOUBLE THEN 'too_short' WHEN s > 25.0::DOUB
 
 @query(f"WITH {_PREP} SELECT id, reason, CASE WHEN reason = 'ok' THEN CASE WHEN coalesce(speaker_id, '') = '{HOLDOUT}' THEN 'eval' WHEN {Q.fraction('id')} < 0.02::DOUBLE THEN 'eval' ELSE 'train' END END AS split FROM r")
 def flt8_prepare_corpus(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.prepare_corpus(clips(spark, d), [HOLDOUT]).select("id", "reason", "split")
+    return corpus.prepare_corpus(clips(spark, d, "id", "text", "speaker_id", "duration", "book_title"), [HOLDOUT]).select("id", "reason", "split")
 
 
 _INDEX = f"""i AS (SELECT speaker_id, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, speaker_id) + 4 AS INTEGER) AS idx FROM clips
@@ -107,7 +106,7 @@ WHEN speaker_id = '{HOLDOUT}' THEN 'holdout' WHEN {Q.fraction('id')} < 0.98::DOU
 
 @query(f"WITH {Q.CLIPS}, {_INDEX} SELECT id, {_ROUTE} AS route, coalesce(idx, -1) AS speaker_index FROM clips LEFT JOIN i USING (speaker_id)")
 def flt9_experiment_routes(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.route_experiment(clips(spark, d), HOLDOUT).select("id", "route", F.coalesce("speaker_index", F.lit(-1)).alias("speaker_index"))
+    return corpus.route_experiment(clips(spark, d, "id", "speaker_id", "has_punctuation", "multi_speaker"), HOLDOUT).select("id", "route", F.coalesce("speaker_index", F.lit(-1)).alias("speaker_index"))
 
 
 @query(f"WITH {Q.SEGMENTS} SELECT segment_id FROM segs WHERE duration_sec >= 1.5::DOUBLE AND duration_sec <= 44.0::DOUBLE")
@@ -156,7 +155,7 @@ def jn1_books_of_both(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {Q.SEGMENTS}, {Q.CHUNKS}, s AS (SELECT recording_id, sum(CAST(duration_sec AS DECIMAL(18,3))) AS x FROM segs GROUP BY 1)
 SELECT chunk_id, CAST(coalesce(x, 0) AS DOUBLE) AS seconds FROM (SELECT chunk_id, split_part(chunk_id, '__chunk_', 1) AS recording_id FROM chunks) LEFT JOIN s USING (recording_id)""")
 def jn2_duration_default(spark: SparkSession, d: str) -> DataFrame:
-    s = segments(spark, d).groupBy("recording_id").agg(F.sum(F.col("duration_sec").cast("decimal(18,3)")).cast("double").alias("seconds"))
+    s = segments(spark, d, "segment_id", "recording_id", "duration_sec").groupBy("recording_id").agg(F.sum(F.col("duration_sec").cast("decimal(18,3)")).cast("double").alias("seconds"))
     c = chunks(spark, d).select("chunk_id", F.substring_index("chunk_id", "__chunk_", 1).alias("recording_id"))
     return joins.left_default(c, s, "recording_id", {"seconds": 0.0}).select("chunk_id", "seconds")
 
@@ -186,12 +185,14 @@ def jn7_semi(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {Q.SEGMENTS}, k AS (SELECT segment_id FROM segs WHERE {_V2} = 'ok')
 SELECT segment_id, duration_sec FROM segs WHERE segment_id NOT IN (SELECT segment_id FROM k)""")
 def jn8_dropped_rows(spark: SparkSession, d: str) -> DataFrame:
-    s = segments(spark, d)
+    s = segments(spark, d, "segment_id", "asr_text", "duration_sec")
     kept = s.where(filters.segment_reason(F.col("asr_text"), F.col("duration_sec")) == filters.KEPT)
     return filters.pending(s, kept, "segment_id").select("segment_id", "duration_sec")
 
 
-@query()
+@query(f"""WITH i AS (SELECT DISTINCT id, speaker_id FROM train_manifest WHERE speaker_id <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY {Q.drawn('id', 42)}, id) - 1 AS r, count(*) OVER (PARTITION BY speaker_id) AS n FROM i)
+SELECT a.id, a.speaker_id, b.id AS context_id FROM r a JOIN r b ON a.speaker_id = b.speaker_id AND b.r = (a.r + 1 + {Q.drawn('a.id', 43)} % (a.n - 1)) % a.n WHERE a.n > 1""")
 def jn10_context_pairs(spark: SparkSession, d: str) -> DataFrame:
     rows = clips(spark, d, "id", "speaker_id").where("speaker_id <> ''")
     return splits.context_pairs(rows, "id", "speaker_id")
@@ -246,7 +247,7 @@ def agg2_punctuated_volume(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {Q.SEGMENTS} SELECT speaker_id, count(*) AS n, round(avg(coalesce(cer, 0.0)), 9) AS mean_cer, round(avg(coalesce(duration_sec, 0.0)), 9) AS mean_seconds FROM segs GROUP BY speaker_id""")
 def agg3_missing_as_zero(spark: SparkSession, d: str) -> DataFrame:
-    s, z = segments(spark, d), F.lit(0.0)
+    s, z = segments(spark, d, "segment_id", "speaker_id", "cer", "duration_sec"), F.lit(0.0)
     return s.groupBy("speaker_id").agg(
         F.count("*").alias("n"), F.round(F.avg(F.coalesce("cer", z)), 9).alias("mean_cer"), F.round(F.avg(F.coalesce("duration_sec", z)), 9).alias("mean_seconds")
     )
@@ -259,7 +260,7 @@ def agg5_book_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {Q.SEGMENTS} SELECT {_V2} AS tag, count(*) AS n FROM segs GROUP BY 1")
 def agg6_reason_counts(spark: SparkSession, d: str) -> DataFrame:
-    s = segments(spark, d).withColumn("reason", filters.segment_reason(F.col("asr_text"), F.col("duration_sec")))
+    s = segments(spark, d, "segment_id", "asr_text", "duration_sec").withColumn("reason", filters.segment_reason(F.col("asr_text"), F.col("duration_sec")))
     return aggs.reason_counts(s, "reason")
 
 
@@ -267,7 +268,7 @@ def agg6_reason_counts(spark: SparkSession, d: str) -> DataFrame:
 count(*) FILTER (r = 'not_punctuated') AS not_punctuated, count(*) FILTER (r = 'multi_speaker') AS multi_speaker FROM (SELECT {_ROUTE} AS r FROM clips)""")
 def agg7_route_counts(spark: SparkSession, d: str) -> DataFrame:
     routes = ["train", "val", "holdout", "not_punctuated", "multi_speaker"]
-    r = corpus.route_experiment(clips(spark, d), HOLDOUT)
+    r = corpus.route_experiment(clips(spark, d, "id", "speaker_id", "has_punctuation", "multi_speaker"), HOLDOUT)
     wide = r.groupBy().pivot("route", routes).agg(F.count("id"))
     return wide.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in routes])
 
@@ -312,7 +313,7 @@ coalesce(round(sum(k) * 100 / nullif(sum(s), 0), 6), 0) AS yield_pct, coalesce(m
 coalesce(round(avg(k), 6), 0) AS mean_seconds, coalesce(quantile_cont(k, 0.5), 0) AS median_seconds FROM v GROUP BY recording_id""")
 def agg15_recording_yield(spark: SparkSession, d: str) -> DataFrame:
     kept = filters.segment_reason(F.col("asr_text"), F.col("duration_sec")) == filters.KEPT
-    return aggs.yield_report(segments(spark, d), "recording_id", kept, "duration_sec")
+    return aggs.yield_report(segments(spark, d, "segment_id", "recording_id", "asr_text", "duration_sec"), "recording_id", kept, "duration_sec")
 
 
 _MISMATCH = f"""{Q.CHUNKS}, c AS (SELECT *, split_part(chunk_id, '__chunk_', 1) AS recording_id FROM chunks),
@@ -429,7 +430,8 @@ def win17_round_robin(spark: SparkSession, d: str) -> DataFrame:
 SELECT speaker_id, segment_id, k - 1 AS rank FROM r WHERE k <= 10""")
 def win18_top_ten_per_speaker(spark: SparkSession, d: str) -> DataFrame:
     s = segments(spark, d, "segment_id", "speaker_id", "cer").select("speaker_id", "segment_id", (-F.coalesce("cer", F.lit(0.0))).alias("x"))
-    return number_within_key(s, ["speaker_id"], ["x", "segment_id"], "rank").where("rank < 10").select("speaker_id", "segment_id", "rank")
+    best = Window.partitionBy("speaker_id").orderBy("x", "segment_id")  # every task keeps ten per speaker before the shuffle
+    return s.withColumn("rank", F.row_number().over(best).cast("long") - 1).where("rank < 10").select("speaker_id", "segment_id", "rank")
 
 
 # splits
@@ -441,12 +443,13 @@ def spl1_hash_splits(spark: SparkSession, d: str) -> DataFrame:
     return clips(spark, d, "id").select("id", hash_split(i, 0.02, "eval", "train").alias("a"), hash_split(i, 0.98, "train", "val").alias("b"))
 
 
-@query()
+@query(f"""WITH i AS (SELECT DISTINCT id FROM train_manifest), n AS (SELECT *, row_number() OVER (ORDER BY {Q.drawn('id', 42)}, id) - 1 AS k, count(*) OVER () AS total FROM i)
+SELECT id, CASE WHEN k < greatest(total // 20, 1) THEN 'eval' ELSE 'train' END AS split FROM n""")
 def spl5_seeded_share(spark: SparkSession, d: str) -> DataFrame:
     return splits.seeded_share(clips(spark, d, "id"), "id")
 
 
-@query()
+@query(f"SELECT DISTINCT id, text FROM eval_manifest ORDER BY {Q.drawn('id', 42)}, id LIMIT 8")
 def spl7_seeded_draw(spark: SparkSession, d: str) -> DataFrame:
     return splits.seeded_draw(evals(spark, d, "id", "text"), "id", 8)
 
@@ -518,7 +521,7 @@ def pro8_within_between_similarity(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {Q.SEGMENTS}, b AS (SELECT *, {Q.norm('text')} AS r, {Q.norm('asr_text')} AS h FROM segs WHERE text IS NOT NULL AND asr_text IS NOT NULL), {Q.edits('b', 'r', 'h')}
 SELECT sum(d)::DOUBLE / sum(len(ua)) AS rate FROM dist""")
 def pro7_pooled_error_rate(spark: SparkSession, d: str) -> DataFrame:
-    s = segments(spark, d).where("text IS NOT NULL AND asr_text IS NOT NULL")
+    s = segments(spark, d, "segment_id", "text", "asr_text").where("text IS NOT NULL AND asr_text IS NOT NULL")
     r, h = T.norm_eval(F.col("text")), T.norm_eval(F.col("asr_text"))
     return aggs.pooled_rate(s.select(F.levenshtein(r, h).alias("d"), F.length(r).alias("n")), "d", "n")
 
@@ -539,12 +542,45 @@ def orc1_quality_run(spark: SparkSession, d: str) -> DataFrame:
     import uuid
 
     names = ("standardize", "duration_outlier", "speaker_select")
-    out = f"{shared_dir(spark)}/quality-{uuid.uuid4().hex}"
-    runner.run_quality(clips(spark, d), out, names)
+    out = scratch(spark, f"quality-{uuid.uuid4().hex}")
+    runner.run_quality(clips(spark, d, "id", "text", "speaker_id", "duration"), out, names)
     return runner.stage_counts(spark, out, names).drop("kept_pct")
 
 
+def _intervals(spark: SparkSession, d: str) -> DataFrame:
+    return segments(spark, d, "segment_id", "recording_id", "start_sec", "end_sec").where("recording_id IS NOT NULL AND end_sec > start_sec")
+
+
+@query()
+def orc3_recordings(spark: SparkSession, d: str) -> DataFrame:
+    """Speech intervals to a manifest: chunks, transcripts, alignment, mismatch fallback, filters."""
+    spoken = chunks(spark, d).select("chunk_id", F.col("asr_text").alias("text")).groupBy("chunk_id").agg(F.max("text").alias("text"))
+    judged = recordings.first_generation(_intervals(spark, d), spoken, _books(spark, d))
+    return recordings.clip_manifest(judged, "chunk_id", T.narrator(F.col("recording_id")), measures=True)
+
+
 @query()
+def orc4_recordings(spark: SparkSession, d: str) -> DataFrame:
+    """Word timings to yields: sentence segments, alignment, filters."""
+    words = read(spark, d, "word_timing")
+    return recordings.recording_yield(recordings.second_generation(words, _books(spark, d)))
+
+
+@query(f"""WITH {Q.SEGMENTS} SELECT segment_id AS id, 'wavs/' || segment_id || '.wav' AS audio_filepath, text, asr_text, book_text, speaker_id, duration_sec AS duration, cer FROM segs WHERE {_V2.replace('asr_text', 'text')} = 'ok'""")
+def prj7_clip_manifest(spark: SparkSession, d: str) -> DataFrame:
+    s = segments(spark, d, "segment_id", "text", "asr_text", "book_text", "speaker_id", "duration_sec", "cer")
+    judged = s.withColumn("reason", filters.segment_reason(F.col("text"), F.col("duration_sec")))
+    return recordings.clip_manifest(judged, "segment_id", F.col("speaker_id"))
+
+
+@query(f"""WITH {Q.SEGMENTS} SELECT 'cer' AS metric, {_SUMMARY.format(x='cer')}, CAST(NULL AS VARCHAR) AS error FROM segs
+UNION ALL SELECT 'mcd', NULL, NULL, NULL, NULL, NULL, NULL, 0, 'no column mcd'""")
+def orc6_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    out = corpus.run_evaluation(segments(spark, d, "segment_id", "cer"), {"cer": "cer", "mcd": "mcd"})
+    return _rounded(out, "metric", "error")
+
+
+@query(f"""WITH {Q.EVALS} SELECT DISTINCT id, text, array_to_string(list_filter(string_split({Q.stripped(Q.collapsed("coalesce(text, '')"))}, ' '), lambda w, i: i % 7 <> 0), ' ') AS asr_text, CAST(NULL AS VARCHAR) AS error FROM evals""")
 def ml4_transcribe_seam(spark: SparkSession, d: str) -> DataFrame:
     return score(evals(spark, d, "id", "text"), EchoTranscriber, EchoTranscriber.schema)
 
@@ -561,4 +597,4 @@ def snk2_json_array(spark: SparkSession, d: str) -> DataFrame:
 def snk6_transcript_lines(spark: SparkSession, d: str) -> DataFrame:
     from voxloom.sources.sinks import transcript_lines
 
-    return transcript_lines(evals(spark, d), "audio_path", "text")
+    return transcript_lines(evals(spark, d, "id", "audio_path", "text"), "audio_path", "text")

@@ -55,7 +55,7 @@ def src14_default_reference(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {Q.CLIPS} SELECT id, duration / nullif(length(replace(text, ' ', '')), 0) AS char_duration FROM clips")
 def prj2_char_duration(spark: SparkSession, d: str) -> DataFrame:
-    return clips(spark, d).select("id", filters.char_duration(F.col("text"), F.col("duration")).alias("char_duration"))
+    return clips(spark, d, "id", "text", "duration").select("id", filters.char_duration(F.col("text"), F.col("duration")).alias("char_duration"))
 
 
 @query("""SELECT recording_id, segment_id, CASE WHEN duration_sec > 0 THEN duration_sec ELSE length(asr_text)::DOUBLE / nullif(length(text), 0) END AS seconds
@@ -68,14 +68,14 @@ def prj3_fallback_duration(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {Q.CLIPS} SELECT id, CASE WHEN duration > 0 THEN length(text) / duration END AS pace FROM clips")
 def prj4_chars_per_second(spark: SparkSession, d: str) -> DataFrame:
-    return clips(spark, d).select("id", filters.chars_per_second(F.col("text"), F.col("duration")).alias("pace"))
+    return clips(spark, d, "id", "text", "duration").select("id", filters.chars_per_second(F.col("text"), F.col("duration")).alias("pace"))
 
 
 @query(f"""WITH {Q.CLIPS} SELECT id, '/data/24k/' || string_split(audio_path, '/')[-1] AS audio_filepath, duration,
 coalesce(CASE WHEN regexp_full_match(speaker_id, '[0-9]+') THEN try_cast(speaker_id AS INTEGER) END, 0) AS speaker,
 '/data/codes/' || regexp_replace(string_split(audio_path, '/')[-1], '\\.[^.]*$', '') || '.pt' AS codes FROM clips""")
 def prj6_trainer_manifest(spark: SparkSession, d: str) -> DataFrame:
-    t = trainer_manifest(clips(spark, d), "/data/24k/", "/data/codes")
+    t = trainer_manifest(clips(spark, d, "id", "audio_path", "text", "duration", "speaker_id"), "/data/24k/", "/data/codes")
     return t.select("id", "audio_filepath", "duration", "speaker", F.col("target_audio_codes_path").alias("codes"))
 
 
@@ -92,7 +92,7 @@ def prj9_text_choice(spark: SparkSession, d: str) -> DataFrame:
 '[' || speaker_id || ']' || text AS prompt FROM evals""")
 def prj10_paths_and_prompts(spark: SparkSession, d: str) -> DataFrame:
     prompt = F.concat(F.lit("["), "speaker_id", F.lit("]"), "text")
-    return evals(spark, d).select("id", T.absolute(F.col("audio_path"), "/corpus").alias("path"), prompt.alias("prompt"))
+    return evals(spark, d, "id", "audio_path", "text", "speaker_id").select("id", T.absolute(F.col("audio_path"), "/corpus").alias("path"), prompt.alias("prompt"))
 
 
 @query("""SELECT recording_id, chunk_idx, printf('%s_seg_%05d', recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY chunk_idx) - 1) AS segment_id
@@ -104,7 +104,7 @@ def prj12_sequence_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {Q.SEGMENTS} SELECT segment_id, {Q.norm('text')} AS norm FROM segs")
 def sf1_norm_eval(spark: SparkSession, d: str) -> DataFrame:
-    return segments(spark, d).select("segment_id", T.norm_eval(F.col("text")).alias("norm"))
+    return segments(spark, d, "segment_id", "text").select("segment_id", T.norm_eval(F.col("text")).alias("norm"))
 
 
 @query(f"""SELECT doc_id, md5({Q.norm("regexp_replace(text, '(?m)^#+[\\t-\\r\\x{1c}-\\x{20}]+', '', 'g')")}) AS norm_md5 FROM documents""")
@@ -130,7 +130,7 @@ def _cer(r: str, h: str, over: str = "len(ua)", of: str = "chars", name: str = "
 
 
 def _pairs(spark, d):
-    return segments(spark, d).where("text IS NOT NULL AND asr_text IS NOT NULL")
+    return segments(spark, d, "segment_id", "text", "asr_text").where("text IS NOT NULL AND asr_text IS NOT NULL")
 
 
 @query(_cer(Q.collapsed("text"), Q.collapsed("asr_text")))
@@ -193,12 +193,12 @@ SELECT id, len(list_filter(range(1, len(c) - 3), lambda i: c[i] <> chr(10) AND l
 len(list_filter(range(1, len(w) - 2), lambda i: len(list_distinct(w[i:i+3])) = 1)) > 0 AS words FROM l""")
 def sf14_repetition(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return clips(spark, d).where(t.isNotNull()).select("id", T.repeated_chars(t).alias("chars"), T.repeated_words(t).alias("words"))
+    return clips(spark, d, "id", "text").where(t.isNotNull()).select("id", T.repeated_chars(t).alias("chars"), T.repeated_words(t).alias("words"))
 
 
 @query(f"WITH {Q.CLIPS} SELECT id, {Q.seg_number('id')} AS seg FROM clips")
 def sf18_segment_number(spark: SparkSession, d: str) -> DataFrame:
-    return clips(spark, d).select("id", T.segment_number(F.col("id")).alias("seg"))
+    return clips(spark, d, "id").select("id", T.segment_number(F.col("id")).alias("seg"))
 
 
 @query(rf"""WITH b AS (SELECT DISTINCT book_title FROM train_manifest WHERE book_title IS NOT NULL)
@@ -213,14 +213,14 @@ def sf19_safe_ids(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {Q.CLIPS}, s AS (SELECT id, regexp_replace(string_split(audio_path, '/')[-1], '\\.[^.]*$', '') AS stem FROM clips)
 SELECT id, CASE WHEN len(string_split(stem, '_')) >= 3 THEN string_split(stem, '_')[-1] WHEN stem IS NOT NULL THEN 'unknown' ELSE 'unknown' END AS narrator FROM s""")
 def sf20_narrator(spark: SparkSession, d: str) -> DataFrame:
-    return clips(spark, d).select("id", T.narrator(F.col("audio_path")).alias("narrator"))
+    return clips(spark, d, "id", "audio_path").select("id", T.narrator(F.col("audio_path")).alias("narrator"))
 
 
 @query(f"""WITH {Q.EVALS}, n AS (SELECT id, {Q.norm('text')} AS t FROM evals WHERE text IS NOT NULL)
-SELECT id, array_to_string(CASE WHEN length(t) >= 8 THEN list_transform(range(1, length(t) - 6, 4), lambda i: substr(t, i, 8)) ELSE [] END, '|') AS grams FROM n""")
+SELECT id, array_to_string(CASE WHEN length(t) >= 8 THEN list_transform(range(1, length(t) - 6, 4), lambda i: substr(t, i, 8)) ELSE [t] END, '|') AS grams FROM n""")
 def sf21_char_ngrams(spark: SparkSession, d: str) -> DataFrame:
     t = T.norm_eval(F.col("text"))
-    return evals(spark, d).where("text IS NOT NULL").select("id", F.array_join(T.char_ngrams(t), "|").alias("grams"))
+    return evals(spark, d, "id", "text").where("text IS NOT NULL").select("id", F.array_join(T.char_ngrams(t), "|").alias("grams"))
 
 
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS similarity

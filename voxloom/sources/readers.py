@@ -71,9 +71,7 @@ def read_json_document(spark: SparkSession, path: str, schema: str) -> DataFrame
 
 def test_set(df: DataFrame, order: list[str], prefix: str = "fleurs", first: int | None = None) -> DataFrame:
     """Adds id '<prefix>_0000' by position in ``order``; optionally only the first rows."""
-    n = numbered(df, order, "_rn")
-    if first is not None:
-        n = n.where(F.col("_rn") < first)
+    n = numbered(df if first is None else df.orderBy(*order).limit(first), order, "_rn")
     return n.withColumn("id", F.format_string(f"{prefix}_%04d", F.col("_rn"))).drop("_rn")
 
 

@@ -19,10 +19,9 @@ def json_array(df: DataFrame, order: str) -> DataFrame:
     return df.agg(F.to_json(F.transform(rows, lambda r: r["_r"])).alias("value"))
 
 
-def write_stage(kept: DataFrame, dropped: DataFrame, path: str, index: int, name: str) -> None:
-    """Parquet under stage=<index>_<name>/verdict=kept and verdict=dropped."""
-    for verdict, df in (("kept", kept), ("dropped", dropped)):
-        df.write.mode("overwrite").parquet(f"{path}/stage={index}_{name}/verdict={verdict}")
+def write_dataset(df: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
+    """Parquet dataset export with files of a bounded number of rows, readable by Arrow-based loaders."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).option("compression", "zstd").parquet(path)
 
 
 def transcript_lines(df: DataFrame, path: str, text: str, listing: DataFrame | None = None, listed: str | None = None) -> DataFrame:

@@ -43,6 +43,13 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that is deleted when the program ends."""
+    path = f"{shared_dir(spark)}/voxloom-{name}"
+    _written.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as zstd parquet and return it read back.
 
