@@ -16,6 +16,7 @@ distinct words, hence two among the first u + 2 in any common order of words.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -298,20 +299,27 @@ def routes(w: Column, tiers: list[list[int]], streamed: bool) -> Column:
     with a partner, and one of more than PAIRED_WORDS words, give single words as well or instead; the
     indexed side gives both wherever a partner may give either.
     """
-    n = F.size(w)
-    spare = n - F.floor((n * SHARE[0] + SHARE[1] - 1) / SHARE[1])
-    tier = lambda x: sum((x.isin(t).cast("int") for t in tiers if t), F.lit(0))
-    rare = F.array_sort(F.transform(F.array_distinct(w), lambda x: F.struct(tier(x).alias("t"), x.alias("x"))))
-    rare = F.transform(rare, lambda r: r["x"])
-    firsts = F.slice(rare, F.lit(1), (spare + 2).cast("int"))
-    pairs = F.flatten(F.transform(firsts, lambda x, i: F.transform(
-        F.slice(firsts, i + 2, F.greatest(F.size(firsts) - i - 1, F.lit(0))), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
-    singles = F.transform(F.slice(rare, F.lit(1), (spare + 1).cast("int")), lambda x: F.xxhash64(x))
+    def keys(s: Column) -> Column:
+        n, rare = s["n"], s["rare"]
+        spare = (n - F.floor((n * SHARE[0] + SHARE[1] - 1) / SHARE[1])).cast("int")
+        pairs = bound(F.slice(rare, F.lit(1), spare + 2), lambda f: F.flatten(F.transform(f, lambda x, i: F.transform(
+            F.slice(f, i + 2, F.greatest(F.size(f) - i - 1, F.lit(0))), lambda y: F.xxhash64(x, y)))))
+        singles = F.slice(rare, F.lit(1), spare + 1)
+        upto = PAIRED_WORDS if streamed else PAIRED_WORDS * SHARE[1] // SHARE[0]
+        above = PAIRED_WORDS if streamed else PAIRED_WORDS * SHARE[0] // SHARE[1] - 1
+        some = F.when(n <= upto, pairs).otherwise(none)
+        return F.concat(some, F.when((n > above) | (F.size(rare) < spare + 2), singles).otherwise(none))
+
     none = F.array().cast("array<long>")
-    few = F.size(rare) < spare + 2
-    upto = PAIRED_WORDS if streamed else PAIRED_WORDS * SHARE[1] // SHARE[0]
-    above = PAIRED_WORDS if streamed else PAIRED_WORDS * SHARE[0] // SHARE[1] - 1
-    return F.concat(F.when(n <= upto, pairs).otherwise(none), F.when((n > above) | few, singles).otherwise(none))
+    tier = lambda x: sum((x.isin(t).cast("long") for t in tiers if t), F.lit(0).cast("long"))
+    order = lambda x: F.shiftleft(tier(x), 61) + F.shiftrightunsigned(x, 3)
+    rare = F.sort_array(F.transform(F.array_distinct(w), order))
+    return bound(F.struct(F.size(w).alias("n"), rare.alias("rare")), keys)
+
+
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` evaluated once per row."""
+    return F.transform(F.array(c), use)[0]
 
 
 def overlaps(train: DataFrame, evals: DataFrame, shard_words: int = SHARD_WORDS, lane_texts: int = LANE_TEXTS) -> DataFrame:
@@ -325,12 +333,13 @@ def overlaps(train: DataFrame, evals: DataFrame, shard_words: int = SHARD_WORDS,
     the sizes. If either side is empty there are no pairs.
     """
     spark = train.sparkSession
-    train = cut(train.withColumn("row", F.monotonically_increasing_id()))
     placed, index, shards = index_shards(evals, shard_words)
     tiers = common_tiers(placed)
+    train = train.withColumn("row", F.monotonically_increasing_id()).withColumn("routes", F.array_distinct(routes(F.col("w"), tiers, True)))
+    train = cut(train)
     spots = placed.select("shard", F.explode(F.array_distinct(routes(F.col("w"), tiers, False))).alias("route"))
     spots = cut(spots.groupBy("route").agg(F.collect_set("shard").alias("shards")))
-    asked = train.select("row", F.explode(F.array_distinct(routes(F.col("w"), tiers, True))).alias("route"))
+    asked = train.select("row", F.explode("routes").alias("route"))
     sent = attach_unknown(asked, spots, "route").select("row", F.explode("shards").alias("shard")).distinct()
     sent = cut(sent.groupBy("row").agg(F.collect_list("shard").alias("shards")))
     texts = cut(train.join(sent, "row").select("key", "w", "shards"))
