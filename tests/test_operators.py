@@ -226,3 +226,21 @@ def test_fixed_windows_and_dealing(spark):
     assert got == [("a", 0, 0.0, 35.0), ("a", 1, 35.0, 70.0), ("a", 2, 70.0, 80.0), ("b", 0, 5.0, 5.0), ("c", 0, 1.0, 36.0)]
     shards = [r["shard"] for r in windows.round_robin(spark.range(10), ["id"], 3).orderBy("id").collect()]
     assert shards == [i % 3 for i in range(10)]
+
+
+@pytest.mark.parametrize("min_hot", [3, 50_000])
+def test_joins_of_unknown_and_repeated_keys(spark, min_hot):
+    rows = [(k, i) for i, k in enumerate(["hot"] * 40 + ["a", "a", "b", None, "none"])]
+    df = spark.createDataFrame(rows, "k string, i int")
+    table = spark.createDataFrame([("hot", 1), ("a", 2), ("b", 3), (None, 4), ("unused", 5)], "k string, v int")
+    got = sorted((r["k"], r["i"], r["v"]) for r in joins.attach_unknown(df, table, "k", min_hot).collect())
+    values = {"hot": 1, "a": 2, "b": 3}
+    assert got == sorted((k, i, values[k]) for k, i in rows if k in values)
+    assert joins.attach_unknown(df.limit(0), table, "k", min_hot).count() == 0 and joins.attach_unknown(df, table.limit(0), "k", min_hot).count() == 0
+    n = {k: sum(1 for j, _ in rows if j == k) for k, _ in rows}
+    members = spark.createDataFrame([(k, n[k], i) for k, i in rows], "k string, n long, member int")
+    left = spark.createDataFrame([("hot", "x"), ("hot", "y"), ("b", "z"), ("b", "z"), ("gone", "w"), (None, "q")], "k string, side string")
+    out = joins.join_copies(left, members, "k", "n", "member", min_hot)
+    want = sorted((k, s, i) for k, s in [("hot", "x"), ("hot", "y"), ("b", "z"), ("b", "z")] for j, i in rows if j == k)
+    assert sorted((r["k"], r["side"], r["member"]) for r in out.collect()) == want
+    assert "n" not in out.columns and joins.join_copies(left, members.limit(0), "k", "n", "member", min_hot).count() == 0
